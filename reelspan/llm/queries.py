@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
+from .bpe import bpe_decode, bpe_encode
 from .mixing import mix
 from .sharding import byte_shards
-from .store import table
+from .store import shared_dir, table
+from .tokenfile import read_token_file, write_token_file
+
+
+def tokenizer_file() -> str:
+    """The vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +27,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+    return bpe_decode(coded, tokenizer_file()).select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing}
+QUERIES = {"op1_sharding": op1_sharding, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {}
