@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import uuid
 
 from .bpe import bpe_decode, bpe_encode
+from .flac import from_flac, to_flac
 from .mixing import mix
 from .sharding import byte_shards
 from .store import shared_dir, table
@@ -43,9 +44,21 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_flac(to_flac(table(spark, sf_dir, "documents").select("doc_id", "text"))).select(
+        "doc_id", "n_bytes",
+        F.octet_length("pcm").cast("long").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pcm, -64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(*(x for c in ("peak", "energy", "crossings") for x in (F.lit(f"{c}="), F.col(c).cast("string"), F.lit(" "))), F.lit("frames="), F.size("blocks").cast("string")).alias("feature"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op9_mixing": op9_mixing}
+QUERIES = {"op1_sharding": op1_sharding, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {}
