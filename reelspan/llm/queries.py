@@ -9,6 +9,7 @@ import uuid
 
 from .bpe import bpe_decode, bpe_encode
 from .flac import from_flac, to_flac
+from .hyperminhash import near_duplicates
 from .mixing import mix
 from .sharding import byte_shards
 from .store import shared_dir, table
@@ -60,5 +61,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+QUERIES = {"op10_hyperminhash": op10_hyperminhash, "op1_sharding": op1_sharding, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {}
