@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import uuid
 
 from .bpe import bpe_decode, bpe_encode
+from .embeddings import near_vectors
 from .flac import from_flac, to_flac
 from .hyperminhash import near_duplicates
 from .mixing import mix
@@ -29,6 +30,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_file())
@@ -65,5 +70,26 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {"op10_hyperminhash": op10_hyperminhash, "op1_sharding": op1_sharding, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op10_hyperminhash": op10_hyperminhash, "op1_sharding": op1_sharding, "op4_embeddings": op4_embeddings, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
+#: The cosine is taken from dot products over all pairs of a label: for the small tables of a comparison only.
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u
+), least AS (
+  SELECT u, min(w) AS component_id FROM reach GROUP BY u
+), n AS (
+  SELECT u, count(*) AS n_links FROM links GROUP BY u
+)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON least.u = v.vec_id LEFT JOIN n ON n.u = v.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op4_embeddings": OP4_SQL}
