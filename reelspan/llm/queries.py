@@ -12,6 +12,7 @@ from .embeddings import near_vectors
 from .flac import from_flac, to_flac
 from .hyperminhash import near_duplicates
 from .mixing import mix
+from .quality import quality
 from .sharding import byte_shards
 from .store import shared_dir, table
 from .substrings import drop_repeats
@@ -31,6 +32,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -76,7 +81,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {"op10_hyperminhash": op10_hyperminhash, "op1_sharding": op1_sharding, "op3_substrings": op3_substrings, "op4_embeddings": op4_embeddings, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
+QUERIES = {"op10_hyperminhash": op10_hyperminhash, "op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_substrings": op3_substrings, "op4_embeddings": op4_embeddings, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
 #: The cosine is taken from dot products over all pairs of a label: for the small tables of a comparison only.
 OP4_SQL = """
 WITH RECURSIVE v AS (
