@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .embeddings import near_vectors
 from .flac import from_flac, to_flac
 from .hyperminhash import near_duplicates
+from .licenses import license_notices
 from .mixing import mix
 from .quality import quality
 from .sharding import byte_shards
@@ -51,6 +52,18 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct("notices.license")), ",").alias("licenses"),
+        F.size(F.filter("notices", lambda n: n["n_differences"] == 0)).cast("long").alias("n_exact"),
+        F.aggregate("notices", F.lit(0).cast("long"), lambda a, n: a + n["n_differences"]).alias("n_differences"),
+        F.aggregate("notices", F.lit(0).cast("long"), lambda a, n: a + n["saved_bytes"]).alias("saved_bytes"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
     return bpe_decode(coded, tokenizer_file()).select(
@@ -81,7 +94,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {"op10_hyperminhash": op10_hyperminhash, "op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_substrings": op3_substrings, "op4_embeddings": op4_embeddings, "op5_token_file": op5_token_file, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
+QUERIES = {"op10_hyperminhash": op10_hyperminhash, "op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_substrings": op3_substrings, "op4_embeddings": op4_embeddings, "op5_token_file": op5_token_file, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
 #: The cosine is taken from dot products over all pairs of a label: for the small tables of a comparison only.
 OP4_SQL = """
 WITH RECURSIVE v AS (
