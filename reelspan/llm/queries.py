@@ -116,4 +116,37 @@ SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, least.component_id,
 FROM v JOIN least ON least.u = v.vec_id LEFT JOIN n ON n.u = v.vec_id
 """
 
-ORACLES: dict[str, str] = {"op4_embeddings": OP4_SQL}
+#: Every shingle that two documents share is counted: for small tables only.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+    ELSE list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]) END) AS x FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM shared JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)
+), both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN both_ways l ON r.v = l.u
+), least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least ON least.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents
+), k AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM w
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(l[i : i + 49], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM w)
+), late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM win) WHERE first < doc_id
+), marked AS (
+  SELECT k.doc_id, k.i, k.word, max(CASE WHEN late.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY k.doc_id ORDER BY k.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM k LEFT JOIN late ON late.doc_id = k.doc_id AND late.i = k.i
+), cut AS (SELECT doc_id, count(*) AS n, sum(gone) AS g, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN cut USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_embeddings": OP4_SQL, "op10_hyperminhash": OP10_SQL}
