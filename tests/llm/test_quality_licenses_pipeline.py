@@ -127,7 +127,10 @@ def test_changed_and_broken_notices(docs, nothing):
         assert s.judge(text)[0] == name and s.judge(text)[3] == 0
         if len(words) > 12:
             k = rnd.randrange(len(words))
-            assert s.judge(" ".join(words[:k] + ["changed"] + words[k + 1 :]))[0] == name
+            changed = " ".join(words[:k] + ["changed"] + words[k + 1 :])
+            tried = [(licenses.word_differences(licenses.wording(changed), licenses.wording(t)), n) for n, t in NOTICES]
+            # a changed version number can be as near to another license
+            assert s.judge(changed)[0] in {n for d, n in tried if d == min(tried)[0]} and s.judge(changed)[3] == min(tried)[0]
     broken = "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies."
     assert [(f[0], f[1], f[2], f[5]) for f in s.scan("x\n" + broken + "\ny")] == [(1, 3, "ISC", 0)]
     assert s.scan("a license for everything and nothing at all, says who") == [] and s.scan("") == []
