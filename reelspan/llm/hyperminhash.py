@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from .batches import buffer, mixed, slices, spans_hash, word_hashes, words
 from .components import components
-from .store import discard, keep
+from .store import discard, keep, partitions
 
 MANTISSA = 10
-#: A bucket's members outside its largest component are all compared with the bucket at once up to this many; of more, about this many a round.
-PIVOTS = 32
+#: Open buckets of up to this many members pair them; larger ones are compared in blocks of so many rows.
+SMALL, BLOCK = 32, 512
 #: Chance of missing a pair that is just at the threshold.
 MISS = 1e-7
 
@@ -104,23 +104,100 @@ def _sketch(docs: DataFrame, width: int, sketcher: Sketcher) -> DataFrame:
     return docs.mapInArrow(work, "id long, n long, d1 long, d2 long, regs binary")
 
 
-def _banded(reps: DataFrame, sketcher: Sketcher, refine: bool = False) -> DataFrame:
-    """(key, id) for every band; with ``refine``, for every bucket key that a row has already, split by all other bands."""
+def _banded(reps: DataFrame, sketcher: Sketcher) -> DataFrame:
+    """(key, id, n) for every band."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                regs = np.stack([np.frombuffer(r, np.uint16) for r in part.column("regs").to_pylist()])
-                keys, ids = sketcher.band_keys(regs), np.asarray(part.column("id"), np.int64)
-                if refine:
-                    outer = np.asarray(part.column("key"), np.int64)[:, None]
-                    keys = np.where(keys == outer, outer, mixed((keys ^ (outer << 1)).astype(np.uint64)).astype(np.int64))
-                    keep_ = keys != outer
-                else:
-                    keep_ = np.ones(keys.shape, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep_]), pa.array(np.broadcast_to(ids[:, None], keys.shape)[keep_])], ["key", "id"])
+                keys = sketcher.band_keys(np.stack([np.frombuffer(r, np.uint16) for r in part.column("regs").to_pylist()]))
+                each = lambda c: pa.array(np.repeat(np.asarray(part.column(c), np.int64), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each("id"), each("n")], ["key", "id", "n"])
 
-    return reps.mapInArrow(work, "key long, id long")
+    return reps.select("id", "n", "regs").mapInArrow(work, "key long, id long, n long")
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    tokens = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    if not len(tokens):
+        return out
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.searchsorted(tokens, flat)
+        at[at == len(tokens)] = 0
+        own = tokens[at] == flat
+        order = np.argsort(at[own], kind="stable")
+        return at[own][order], row[own][order], np.bincount(at[own], minlength=len(tokens))
+
+    (ta, ra, ca), (tb, rb, cb) = places(a), places(b)
+    frequent = ca * cb * 64 >= out.size
+    wide = np.flatnonzero(frequent)
+    number = np.cumsum(frequent) - 1
+    for i in range(0, len(wide), 2048):  # words that many rows share: a product of 0/1 matrices
+        n = min(2048, len(wide) - i)
+        x, y = np.zeros((len(a), n), np.float32), np.zeros((len(b), n), np.float32)
+        for m, t, r in ((x, ta, ra), (y, tb, rb)):
+            mine = frequent[t] & (number[t] >= i) & (number[t] < i + n)
+            m[r[mine], number[t[mine]] - i] = 1
+        out += (x @ y.T).astype(np.int64)
+    rare = ~frequent  # all others: their pairs, counted
+    first_b = np.cumsum(cb) - cb
+    mine = np.flatnonzero(rare[ta])
+    for part in (mine[i : i + 65536] for i in range(0, len(mine), 65536)):
+        times = cb[ta[part]]
+        after = np.cumsum(times)
+        pick = np.repeat(first_b[ta[part]] - (after - times), times) + np.arange(int(after[-1]))
+        out += np.bincount(np.repeat(ra[part], times) * len(b) + rb[pick], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links between components of each group, of (grp, id, comp): outsiders of the group's largest component with all members.
+
+    Rows are dealt to blocks by hash, and every block of outsiders meets every block of members in a task of its own. Only edges
+    that join components leave it, a spanning set of them.
+    """
+    sizes = keep(members.groupBy("grp", "comp").agg(F.count("*").alias("c")))
+    tally = keep(sizes.groupBy("grp").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).select(
+        "grp", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("outer")
+    ).where("outer > 0"))
+    met = members.join(tally, "grp").select("*", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int").alias("b"), F.pmod(F.xxhash64("id", F.lit(8)), F.col("outer")).cast("int").alias("o"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inner = met.select("grp", "id", "comp", "b", upto("outer").alias("o"), F.lit(0).alias("side"))
+    outer = met.where("comp <> main").select("grp", "id", "comp", upto("blocks").alias("b"), "o", F.lit(1).alias("side"))
+    dealt = inner.unionByName(outer).select(F.xxhash64("grp", "b", "o").alias("task"), "side", "id", "comp")
+    full = dealt.join(sets.select("id", "n", "hashes"), "id").repartition(parts, "task").sortWithinPartitions("task")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(rows: list[tuple]) -> pa.RecordBatch:
+            sides = [[r for r in rows if r[1] == k] for k in (0, 1)]
+            edges = np.zeros((0, 2), np.int64)
+            if all(sides):
+                (ids_a, comp_a, n_a), (ids_b, comp_b, n_b) = ([np.array([r[i] for r in side], np.int64) for i in (2, 3, 4)] for side in sides)
+                common = _common(*([np.frombuffer(r[5], np.uint64) for r in side] for side in sides))
+                near = (100 * common >= percent * (n_a[:, None] + n_b[None, :] - common)) & (comp_a[:, None] != comp_b[None, :])
+                i, j = np.nonzero(near)
+                # one edge for each pair of components
+                _, first = np.unique(np.stack([comp_a[i], comp_b[j]], 1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+                edges = np.stack([ids_a[i[first]], ids_b[j[first]]], 1)
+            return pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], ["u", "v"])
+
+        task, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "id", "comp", "n", "hashes"))):
+                if row[0] != task:
+                    if held:
+                        yield work(held)
+                    task, held = row[0], []
+                held.append(row)
+        if held:
+            yield work(held)
+
+    return full.select("task", "side", "id", "comp", "n", "hashes").mapInArrow(linked, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,12 +231,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     texts, have none, link with nothing and are kept. Rows with equal sets are one class from the start, so copies are never
     paired. Shingles are held as 64-bit hashes.
 
-    Registers are banded so that a pair at the threshold meets in a band but for a chance of 1e-7. A bucket first compares all its
-    members with its least one. Members of one component need no more comparing; a bucket that still has several components has
-    every member outside its largest component compared with all others (the bounded number ``PIVOTS`` of them a round, until
-    none is left). Buckets with more than that many outsiders are first split by all other bands, where a similar pair meets again.
-    No bucket is capped, and nothing is collected. Ids must be integers; a null id is dropped from links but kept as a row; rows that
-    share an id share its component. An empty table gives an empty result.
+    Registers are banded so that a pair at the threshold meets in a band but for a chance of 1e-7. First every row meets the one
+    row that it shares most bands with, of those that are the least of a bucket, so that large groups join in a few comparisons a
+    row. Then every bucket that still has several components is settled exactly: small ones pair their members, as far as their
+    sizes can be similar; groups of overlapping larger ones compare all rows outside their largest component with all rows, in
+    blocks, and only edges between components leave a block. No bucket is capped, and nothing is collected.
+
+    Ids must be integers; a null id is dropped from links but kept as a row; rows that share an id share its component. An empty
+    table gives an empty result.
     """
     bands, rows = bands_for(percent / 100)
     sketcher = Sketcher(bands, rows)
@@ -167,11 +246,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sketched = keep(_sketch(source, width, sketcher))
     linked = sketched.where("n > 0 and id is not null")
     reps = keep(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")))
-    keyed = keep(_banded(reps.select("id", "regs"), sketcher))
-    shared = keep(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1"))
-    members = keep(keyed.join(shared, "key").select("key", "id", "pivot", "size"))
+    keyed = keep(_banded(reps, sketcher))
+    shared = keep(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("pivot")).where("size > 1"))
+    members = keep(keyed.join(shared, "key").select("key", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "size"))
     discard(keyed)
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
     used = members.select("id").distinct()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,42 +259,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     wanted = source.join(used, "id", "left_semi")
     sets = keep(wanted.mapInArrow(hashed, "id long, hashes binary").join(reps.select("id", "n", "regs"), "id"))
-    edges = keep(_confirmed(pairs, sets, percent))
+    alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+    # the pivot that each row shares most bands with, of those that it can be similar to
+    offers = members.where((F.col("id") != F.col("pivot")) & alike(F.col("n"), F.col("pivot_n"))).groupBy("id", "pivot").agg(F.count("*").alias("bands"))
+    best = offers.groupBy("id").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("p"))).alias("best")).select((-F.col("best.p")).alias("u"), F.col("id").alias("v"))
+    edges = keep(_confirmed(keep(best), sets, percent))
+    found = keep(components(edges))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(found, rows["id"] == found["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
+
+    left = keep(labelled(members.select("key", "id", "n", "size")))
+    open_ = keep(left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key"))
+    left = keep(left.join(open_, "key"))
+    small = left.where(F.col("size") <= SMALL)
+    a, b = small.alias("a"), small.alias("b")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & alike(F.col("a.n"), F.col("b.n"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    edges = edges.unionByName(keep(_confirmed(keep(pairs), sets, percent)))
+    large = keep(left.where(F.col("size") > SMALL).select("key", "id"))
+    if large.take(1):
+        heads = keep(large.groupBy("key").agg(F.min("id").alias("v")))
+        groups = keep(components(large.join(heads, "key").select(F.col("id").alias("u"), "v").where("u <> v").distinct()))
+        crowd = keep(labelled(groups.select(F.col("node").alias("id"), F.col("component").alias("grp"))))
+        edges = edges.unionByName(keep(_block_links(crowd, sets, percent, partitions(docs.sparkSession))))
     found = keep(components(edges))
-    labelled = lambda m: m.join(found, m["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    # a member that all others were compared with is done
-    left = labelled(members.where("id <> pivot and size > 2"))
-    split = False
-    salt = 0
-    while True:
-        left = keep(left)
-        parts = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        tally = parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).select(
-            "key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("outside")
-        ).where("outside > 0")
-        tally = keep(tally)
-        if not tally.take(1):
-            break
-        salt += 1
-        met = keep(left.join(tally, "key"))
-        if not split:
-            split = True
-            large = met.where(F.col("outside") > PIVOTS)
-            if large.take(1):
-                finer = _banded(large.select("id", "key").join(reps.select("id", "regs"), "id").select("key", "id", "regs"), sketcher, True)
-                finer = keep(finer)
-                again = finer.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-                left = labelled(finer.join(keep(again), "key").select("key", "id").unionByName(met.where(F.col("outside") <= PIVOTS).select("key", "id")))
-                continue
-        pivot = (F.col("comp") != F.col("main")) & ((F.col("outside") <= PIVOTS) | (F.pmod(F.xxhash64("id", F.lit(salt)), F.col("outside")) < PIVOTS))
-        picked = met.where(pivot).select("key", F.col("id").alias("p"), F.col("comp").alias("p_comp"))
-        pairs = keep(met.select("key", "id", "comp").join(picked, "key").where("comp <> p_comp").select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct())
-        new = keep(_confirmed(pairs, sets, percent))
-        open_ = met.where(F.col("outside") > PIVOTS).where(~pivot).select("key", "id")
-        if new.take(1):
-            edges = keep(edges.unionByName(new))
-            found = keep(components(edges))
-        left = labelled(open_)
     classes = keep(reps.join(found, reps["id"] == found["node"], "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id")))
     base = sketched.select("id", "n", "d1", "d2").alias("s")
     out = base.join(classes.alias("c"), (F.col("s.n") == F.col("c.n")) & (F.col("s.d1") == F.col("c.d1")) & (F.col("s.d2") == F.col("c.d2")) & F.col("s.id").isNotNull(), "left")
