@@ -24,7 +24,7 @@ from .batches import slices
 #: The split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words whose ids a worker remembers; the memory starts afresh when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 _NO_RANK = np.int64(1) << 62
 _PLACE = 32
 
@@ -193,6 +193,10 @@ def cut_at_spaces(text: str) -> list[str]:
     return text.split(" ")
 
 
+#: A piece that is letters (at least at its end) and then marks, neither of which holds a bar: added tokens stay whole.
+_MARKS = regex.compile(r"([^|]*\p{L})([^\s\p{L}\p{N}|]+)")
+
+
 class Encoder:
     """Encodes whole texts piece by piece and remembers the ids of pieces, up to ``limit`` of them."""
 
@@ -206,7 +210,17 @@ class Encoder:
             if len(known) + len(fresh) > self.limit:
                 known.clear()
                 fresh = list(wanted)
-            known.update(zip(fresh, self.encode([lead + p for p in fresh])))
+            # a mark after a letter is cut off by the split pattern too: "word," costs no more than "word" and ","
+            ends = [None if p[-1:].isalpha() else _MARKS.fullmatch(p) for p in fresh]
+            cores = set(m[1] if m else p for m, p in zip(ends, fresh)).difference(known)
+            marks = set(m[2] for m in ends if m)
+            asked = list(cores)
+            coded = dict(zip(asked, self.encode([lead + p for p in asked])))
+            tails = dict(zip(marks, self.encode(list(marks))))
+            for m, p in zip(ends, fresh):
+                if m:
+                    known[p] = (coded.get(m[1]) or known[m[1]]) + tails[m[2]]
+            known.update(coded)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [cut_at_spaces(t) for t in texts]

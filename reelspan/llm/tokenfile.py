@@ -13,6 +13,7 @@ codes (the bytes below).
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -115,7 +116,7 @@ def library_encoder(path: str) -> Encoder:
     tok.no_truncation()
     if "".join(t.content for t in tok.get_added_tokens_decoder().values()).count(" "):
         raise ValueError("added tokens with spaces are not supported")
-    return Encoder(lambda pieces: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)])
+    return Encoder(lambda pieces: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)], 1_000_000)
 
 
 FILE_SCHEMA = "file long, segment long, first_doc long, docs binary, ends binary, n_tokens long, codes binary"
