@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .batches import buffer, mixed, slices, spans_hash, word_hashes, words
 from .components import components
-from .store import discard, keep, partitions
+from .store import discard, keep, partitions, possibly_in
 
 MANTISSA = 10
 #: Open buckets of up to this many members pair them; larger ones are compared in blocks of so many rows.
@@ -245,7 +245,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = keep(_sketch(source, width, sketcher))
     linked = sketched.where("n > 0 and id is not null")
+    rows_of = keep(sketched.select("id", "n", "d1", "d2"))
     reps = keep(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")))
+    discard(sketched)
     keyed = keep(_banded(reps, sketcher))
     shared = keep(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("pivot")).where("size > 1"))
     members = keep(keyed.join(shared, "key").select("key", "id", "n", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "size"))
@@ -257,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             sets = [s.tobytes() for s in shingle_sets(part.column("text"), width)]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    wanted = source.join(used, "id", "left_semi")
+    wanted = possibly_in(source, "id", keep(used)).where("_maybe").select("id", "text")
     sets = keep(wanted.mapInArrow(hashed, "id long, hashes binary").join(reps.select("id", "n", "regs"), "id"))
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -285,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         edges = edges.unionByName(keep(_block_links(crowd, sets, percent, partitions(docs.sparkSession))))
     found = keep(components(edges))
     classes = keep(reps.join(found, reps["id"] == found["node"], "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id")))
-    base = sketched.select("id", "n", "d1", "d2").alias("s")
+    base = rows_of.alias("s")
     out = base.join(classes.alias("c"), (F.col("s.n") == F.col("c.n")) & (F.col("s.d1") == F.col("c.d1")) & (F.col("s.d2") == F.col("c.d2")) & F.col("s.id").isNotNull(), "left")
     component = F.coalesce("component_id", "s.id")
     return out.select(F.col("s.id").alias(id_col), F.col("s.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("s.id"), F.lit(True)).alias("kept"))
