@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -66,6 +67,29 @@ def word_differences(a: list[str], b: list[str]) -> int:
     return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, False).get_opcodes() if tag != "equal")
 
 
+def nearest_spans(words: list[str], notice: list[str], may_differ: int) -> Iterator[tuple[int, int, int]]:
+    """(differing words, start, end) of the spans of words that are within ``may_differ`` of a notice, the best for each end."""
+    m, reach, there = len(notice), len(notice) + may_differ, set(notice)
+    seen = list(accumulate((w in there for w in words), initial=0))
+    # such a span holds all but may_differ of the notice's words
+    near = [k for k in range(len(words)) if seen[min(k + reach, len(words))] - seen[k] >= m - may_differ]
+    at = 0
+    while at < len(near):
+        low, high = near[at], near[at] + reach
+        while at < len(near) and near[at] <= high:
+            high, at = near[at] + reach, at + 1
+        high = min(high, len(words))
+        # column of (differences, -start) for each number of the notice's words
+        column = [(i, -low) for i in range(m + 1)]
+        for end in range(low + 1, high + 1):
+            word, before, column = words[end - 1], column, [(0, -end)]
+            for i in range(1, m + 1):
+                d, start = before[i - 1]
+                column.append(min((d + (notice[i - 1] != word), start), (before[i][0] + 1, before[i][1]), (column[i - 1][0] + 1, column[i - 1][1])))
+            if column[m][0] <= may_differ:
+                yield column[m][0], -column[m][1], end
+
+
 class Scanner:
     def __init__(self, notices: list[tuple[str, str]]):
         self.notices = [(name, wording(text)) for name, text in notices]
@@ -118,7 +142,47 @@ class Scanner:
             else:
                 out += [(k, 1, *found) for k in range(i, end) if (found := self.judge(lines[k]))]
             i = end
-        return out
+        at = 0
+        while at < len(lines):
+            end = at
+            while end < len(lines) and lines[end].strip():
+                end += 1
+            if any(cued[at:end]):
+                out = self.inside(lines, at, end, out)
+            at = end + 1
+        return sorted(out)
+
+    def inside(self, lines: list[str], first: int, stop: int, out: list[tuple]) -> list[tuple]:
+        """``out`` with the notices inside the paragraph of lines ``first`` to ``stop`` that are not whole lines.
+
+        Of overlapping spans the one with most matching less differing words stays; whole lines in ``out`` only give way to a
+        better span that goes on beyond them.
+        """
+        words, line_of = [], []
+        for k in range(first, stop):
+            some = wording(lines[k])
+            words += some
+            line_of += [k] * len(some)
+        spans = []
+        for i, (_, notice) in enumerate(self.notices):
+            spans += [(2 * d - len(notice), d, a, b, i) for d, a, b in nearest_spans(words, notice, int(MAY_DIFFER * len(notice)))]
+        saved = {}
+        for _, _, a, b, _ in spans:
+            if (a, b) not in saved:
+                saved[a, b] = self.reductions(" ".join(words[a:b]).encode())
+        taken: list[tuple[int, int]] = []
+        found = []
+        for worth, d, a, b, i in sorted(spans, key=lambda x: (x[0], x[1], -saved[x[2], x[3]][x[4]], x[4], x[2])):
+            if any(a < y and x < b for x, y in taken):
+                continue
+            top, last = line_of[a], line_of[b - 1]
+            met = [f for f in out if f[0] <= last and top < f[0] + f[1]]
+            if any(f[0] <= top and last < f[0] + f[1] or 2 * f[5] - len(self.notices[f[3]][1]) <= worth for f in met):
+                continue
+            out = [f for f in out if f not in met]
+            found.append((top, last - top + 1, self.notices[i][0], i, saved[a, b][i], d))
+            taken.append((a, b))
+        return out + found
 
 
 @lru_cache(4)
@@ -133,7 +197,8 @@ _ARROW = pa.list_(pa.struct([("line", pa.int32()), ("n_lines", pa.int32()), ("li
 def license_notices(docs: DataFrame, text_col: str = "text", notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """``docs`` with ``notices`` in place of the text: the license notices of each row, in order of their lines.
 
-    Candidate blocks are lines with a cue word, and whole runs of such lines. A block is compressed alone and with each known notice
+    Candidate blocks are lines with a cue word, whole runs of such lines, and spans of words inside a paragraph (up to a blank line)
+    with a cue, in one line or over several: every span within the tolerance of any notice. A whole line or run is compressed alone and with each known notice
     as a raw dictionary; the three notices that save most are compared word by word, and the one with the fewest differing
     words is confirmed if these are a fifth of its words at most. Ties go to the larger saving, then to the earlier notice.
     Null and empty texts have no notices. Other columns stay; one named ``notices`` is replaced. Every row is on its own.
