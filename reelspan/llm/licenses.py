@@ -1,7 +1,8 @@
-"""License notices found by conditional compression and confirmed by their wording."""
+"""License notices found by their wording, with the bytes that each saves as a compression dictionary."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -50,8 +51,8 @@ NOTICES = [
 ]
 #: What a line of a notice holds at least one of, in lower case.
 CUES = ["licens", "licenc", "copyright", "all rights reserved", "permission", "redistribut", "warrant", "public domain", "spdx"]
-#: Notices, best size reduction first, whose wording is compared; the share of a notice's words that may differ.
-COMPARED, MAY_DIFFER = 3, 0.2
+#: The share of a notice's words that may differ.
+MAY_DIFFER = 0.2
 _WORD = regex.compile(r"[^\s]+")
 #: Blocks whose result a worker remembers.
 REMEMBERED = 50_000
@@ -112,10 +113,14 @@ class Scanner:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             words = wording(block)
-            saved = self.reductions(" ".join(words).encode())
-            order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))[:COMPARED]
-            tried = [(word_differences(words, self.notices[i][1]), -saved[i], i) for i in order]
-            fits = [t for t in tried if t[0] <= MAY_DIFFER * len(self.notices[t[2]][1])]
+            tried = [(i, MAY_DIFFER * len(notice)) for i, (_, notice) in enumerate(self.notices)]
+            # no alignment has fewer differing words than the lengths and the words in common leave
+            tried = [(i, most) for i, most in tried if abs(len(words) - len(self.notices[i][1])) <= most]
+            bag = Counter(words) if tried else Counter()
+            tried = [(i, most) for i, most in tried if max(len(words), len(self.notices[i][1])) - (bag & Counter(self.notices[i][1])).total() <= most]
+            fits = [(d, i) for i, most in tried if (d := word_differences(words, self.notices[i][1])) <= most]
+            saved = self.reductions(" ".join(words).encode()) if fits else []
+            fits = [(d, -saved[i], i) for d, i in fits]
             best = min(fits, default=None)
             self.known[block] = best and (self.notices[best[2]][0], best[2], -best[1], best[0])
         return self.known[block]
@@ -198,9 +203,9 @@ def license_notices(docs: DataFrame, text_col: str = "text", notices: list[tuple
     """``docs`` with ``notices`` in place of the text: the license notices of each row, in order of their lines.
 
     Candidate blocks are lines with a cue word, whole runs of such lines, and spans of words inside a paragraph (up to a blank line)
-    with a cue, in one line or over several: every span within the tolerance of any notice. A whole line or run is compressed alone and with each known notice
-    as a raw dictionary; the three notices that save most are compared word by word, and the one with the fewest differing
-    words is confirmed if these are a fifth of its words at most. Ties go to the larger saving, then to the earlier notice.
+    with a cue, in one line or over several: every span within the tolerance of any notice. A whole line or run
+    is compared word by word with every notice that its length and words do not rule out, and the one with the fewest differing words
+    is confirmed if these are a fifth of its words at most. Ties go to the larger saving, then to the earlier notice.
     Null and empty texts have no notices. Other columns stay; one named ``notices`` is replaced. Every row is on its own.
     """
     known = tuple(notices or NOTICES)
