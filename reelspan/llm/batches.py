@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
 
@@ -30,6 +33,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = stop
 
 
+#: Bytes that Spark puts into a batch at most (or one row); its own limit of 64 MB would be held several times over in a worker.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``rows.mapInArrow`` in batches of bounded bytes; workers, which outlive their tasks, give freed memory back at each end."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    rows.sparkSession.conf.set(_LIMIT, BATCH_BYTES)
+    return rows.mapInArrow(tidy, schema)
+
+
 def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and its n + 1 offsets into them; a null counts as empty."""
     kind = pa.large_binary() if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else pa.large_string()

@@ -9,8 +9,8 @@ the rows of one array and are worked on together, each with its own merges, unti
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +19,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import slices
+from .batches import buffer, mapped, mixed, slices, word_hashes
 
 #: The split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a worker remembers; the memory starts afresh when it is full.
-REMEMBERED = 700_000
+#: Distinct pieces whose ids a worker remembers (about 60 bytes each); the memory starts afresh when it is full.
+REMEMBERED = 690_000
 _NO_RANK = np.int64(1) << 62
 _PLACE = 32
+#: Long words of one size that are too few to be worked on side by side.
+_FEW = 24
 
 
 def byte_alphabet() -> list[str]:
@@ -36,19 +38,26 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
+def check_plain(path: str) -> dict:
+    """The tokenizer file, if texts can be cut where ``cut_places`` does; else an error."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec["pre_tokenizer"]
+    if spec["model"]["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"] or spec["normalizer"]:
+        raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
+    for t in spec["added_tokens"]:
+        if regex.search(r"[ \n]|[A-Za-z][!-/:-@\[-`{}~]", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]:
+            raise ValueError("added tokens with spaces, line feeds, marks after letters or stripping are not supported")
+    return spec
+
+
 class Model:
     """The tables of a byte-level BPE tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        split = spec["pre_tokenizer"]
-        if spec["model"]["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"] or spec["normalizer"]:
-            raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
+        spec = check_plain(path)
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-            raise ValueError("added tokens with spaces or stripping are not supported")
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
         letters = byte_alphabet()
@@ -118,6 +127,49 @@ class Model:
             row = row[tree_[trunk + 1] < _NO_RANK]
         return alive
 
+    @cached_property
+    def _merges(self) -> dict[int, tuple[int, int]]:
+        """Pair -> its rank and what it becomes."""
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged[self.ranks].tolist())))
+
+    def _tree(self, symbols: list[int]) -> list[int]:
+        """The symbols of one long word after all merges: the same tree, worked on alone."""
+        n, merges, none = len(symbols), self._merges, int(_NO_RANK)
+        width = 1 << (n - 1).bit_length()
+        tree = [none] * (2 * width)
+
+        def leaf(left: int, right: int, place: int) -> int:
+            found = merges.get(symbols[left] << 32 | symbols[right])
+            return found[0] << _PLACE | place if found else none
+
+        tree[width : width + n - 1] = [leaf(i, i + 1, i) for i in range(n - 1)]
+        for i in range(width - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        while tree[1] < none:
+            at = tree[1] & (1 << _PLACE) - 1
+            gone = after[at]
+            symbols[at] = merges[symbols[at] << 32 | symbols[gone]][1]
+            symbols[gone] = -1
+            follow, ahead = after[gone], before[at]
+            after[at] = follow
+            changed = [(gone, none), (at, none)]
+            if follow < n:
+                before[follow] = at
+                changed[1] = (at, leaf(at, follow, at))
+            if ahead >= 0:
+                changed.append((ahead, leaf(ahead, at, ahead)))
+            for place, value in changed:
+                node = width + place
+                tree[node] = value
+                while node > 1:
+                    node >>= 1
+                    least = min(tree[2 * node], tree[2 * node + 1])
+                    if tree[node] == least:
+                        break
+                    tree[node] = least
+        return [s for s in symbols if s >= 0]
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, word after word, and the number of ids of each word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -128,6 +180,12 @@ class Model:
         width, low = 1, 0
         while low < sizes.max(initial=0):
             mine = np.flatnonzero((sizes > low) & (sizes <= width))
+            if len(mine) < _FEW and width > 64:  # a step over few trees costs as much as one over many
+                for i in mine.tolist():
+                    got = self._tree(raw[begin[i] : begin[i] + sizes[i]].tolist())
+                    counts[i] = len(got)
+                    found.append((np.array([i]), np.array(got, np.int64)))
+                mine = mine[:0]
             step = max(1, (1 << 18) // width)
             for part in (mine[i : i + step] for i in range(0, len(mine), step)):
                 place = np.arange(width)
@@ -181,54 +239,169 @@ class Model:
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
 
-#: White space that makes a cut before a space unsafe if it follows that space: the cut would go through a run.
-_RUNS = [" " + c for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
-_CUT = regex.compile(r" (?!\s|$)")
-
+#: White space of one byte, and the UTF-8 forms of all other white space: first byte, second, and the range of a third.
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), *range(28, 33)]] = True
+_WIDE_SPACE = [(0xC2, 0x85, None), (0xC2, 0xA0, None), (0xE1, 0x9A, (0x80, 0x80)), (0xE2, 0x80, (0x80, 0x8A)), (0xE2, 0x80, (0xA8, 0xAF)), (0xE2, 0x81, (0x9F, 0x9F)), (0xE3, 0x80, (0x80, 0x80))]
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII marks but the bar, which added tokens are written with; and how many of them at the end of a piece are looked at.
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and c != 124]] = True
+_MARKS = 8
+#: Bytes of a piece that is remembered, and bytes of text that are looked up at once.
+_LONGEST, _STRETCH = 256, 1 << 20
 
-def cut_at_spaces(text: str) -> list[str]:
-    """The text cut before spaces, without them. The split pattern always cuts there: a space goes with a printed character after it."""
-    if text.endswith(" ") or any(run in text for run in (_RUNS if not text.isascii() else _RUNS[:10])):
-        return _CUT.split(text)
-    return text.split(" ")
 
+def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the texts of a buffer can be cut so that the pieces, each encoded alone, give the ids of the whole.
 
-#: A piece that is letters (at least at its end) and then marks, neither of which holds a bar: added tokens stay whole.
-_MARKS = regex.compile(r"([^|]*\p{L})([^\s\p{L}\p{N}|]+)")
+    The split pattern always cuts before a space that no white space follows, before a lone line feed, and between an ASCII letter
+    and the marks at the end of such a piece. Other safe cuts are left out. Every text that is not empty starts a piece.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    last, first = np.zeros(n, bool), np.zeros(n, bool)
+    last[heads[1:] - 1] = last[n - 1] = first[heads] = True
+    near = np.concatenate([data, np.zeros(3, np.uint8)])
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[~last[at] & ~_SPACE[near[at + 1]]]
+    some = np.flatnonzero(near[at + 1] >= 0xC2)
+    if len(some):
+        a, b, c = (near[at[some] + k] for k in (1, 2, 3))
+        unsafe = np.zeros(len(some), bool)
+        for one, two, three in _WIDE_SPACE:
+            unsafe |= (a == one) & (b == two) & ((c >= three[0]) & (c <= three[1]) if three else True)
+        at = np.delete(at, some[unsafe])
+    before = data[np.maximum(at - 1, 0)]
+    # a line feed at a text's head, or after a byte that may end white space, is no cut
+    at = at[(data[at] == 32) | ~(first[at] | _SPACE[before] | (before >= 0x80))]
+    first[at] = True
+    cuts = np.flatnonzero(first)
+    place = np.append(cuts[1:], n) - 1
+    mine = _MARK[data[place]]
+    place, low = place[mine], cuts[mine]
+    for _ in range(_MARKS):
+        place = place - ((place - 1 > low) & _MARK[data[np.maximum(place - 1, 0)]])
+    first[place[(place > low) & _LETTER[data[np.maximum(place - 1, 0)]]]] = True
+    return np.flatnonzero(first)
+
+
+class Memo:
+    """Ids of pieces by 128 bits of hash, of ``limit`` pieces at most: an open hash table in arrays, for whole columns at once."""
+
+    def __init__(self, limit: int):
+        self.limit, self.slots = limit, 1 << max(4, (3 * limit // 2).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = self.used = 0
+        self.keys, self.checks, self.begin = (np.zeros(self.slots, np.uint64) for _ in range(3))
+        self.count = np.zeros(self.slots, np.int32)
+        self.flat = np.zeros(1 << 12, np.uint32)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The slot of every key, or -1."""
+        out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        slot = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            there = self.keys[slot]
+            hit = (there == keys[todo]) & (self.checks[slot] == checks[todo])
+            out[todo[hit]] = slot[hit]
+            go = (there != 0) & ~hit
+            todo, slot = todo[go], (slot[go] + 1) & (self.slots - 1)
+        return out
+
+    def put(self, keys: np.ndarray, checks: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Remembers the ids of distinct pieces, counts of which belong to each; it starts afresh when it is full."""
+        if self.size + len(keys) > self.limit:
+            self.clear()
+            keys, checks, counts = keys[: self.limit], checks[: self.limit], counts[: self.limit]
+            ids = ids[: counts.sum()]
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(counts) - counts
+        self.used, self.size = self.used + len(ids), self.size + len(keys)
+        todo, slot = np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[todo[free]]
+            own = free & (self.keys[slot] == keys[todo])
+            for held, new in ((self.checks, checks), (self.begin, begin), (self.count, counts)):
+                held[slot[own]] = new[todo[own]]
+            todo, slot = todo[~own], (slot[~own] + 1) & (self.slots - 1)
+
+
+def _put_runs(out: np.ndarray, to: np.ndarray, flat: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> None:
+    """Puts runs of ``flat`` to their places in ``out``."""
+    after = np.cumsum(counts)
+    step = np.arange(after[-1] if len(after) else 0)
+    out[np.repeat(to - (after - counts), counts) + step] = flat[np.repeat(begin.astype(np.int64) - (after - counts), counts) + step]
 
 
 class Encoder:
     """Encodes whole texts piece by piece and remembers the ids of pieces, up to ``limit`` of them."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
-        self.encode, self.limit, self.known, self.heads = encode, limit, {}, {}
-
-    def _learn(self, known: dict[str, bytes], pieces: Iterable[str], lead: str) -> None:
-        wanted = set(pieces)
-        fresh = list(wanted.difference(known))
-        if fresh:
-            if len(known) + len(fresh) > self.limit:
-                known.clear()
-                fresh = list(wanted)
-            # a mark after a letter is cut off by the split pattern too: "word," costs no more than "word" and ","
-            ends = [None if p[-1:].isalpha() else _MARKS.fullmatch(p) for p in fresh]
-            cores = set(m[1] if m else p for m, p in zip(ends, fresh)).difference(known)
-            marks = set(m[2] for m in ends if m)
-            asked = list(cores)
-            coded = dict(zip(asked, self.encode([lead + p for p in asked])))
-            tails = dict(zip(marks, self.encode(list(marks))))
-            for m, p in zip(ends, fresh):
-                if m:
-                    known[p] = (coded.get(m[1]) or known[m[1]]) + tails[m[2]]
-            known.update(coded)
+        self.encode, self.known = encode, Memo(limit)
+
+    def _block(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of a stretch of text, and how many each has."""
+        if len(begin) == 1 and len(data) > _LONGEST:
+            ids = np.frombuffer(self.encode([data.tobytes().decode()])[0], "<u4")
+            return ids, np.array([len(ids)])
+        keys = np.maximum(word_hashes(data, begin, end), 1)
+        # the check has the first and the last eight bytes
+        eight = np.ndarray(len(data) + 8, "<u8", np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)]), 0, (1,))
+        size = (end - begin).astype(np.uint64)
+        short = np.where(size < 8, 64 - 8 * size, np.uint64(0))
+        checks = mixed((eight[begin + 8] << short) + np.uint64(1)) ^ (eight[end] >> short) ^ size << np.uint64(40)
+        slot = self.known.find(keys, checks)
+        counts = self.known.count[slot].astype(np.int64)
+        missed = np.flatnonzero(slot < 0)
+        if len(missed):
+            order = missed[np.lexsort((checks[missed], keys[missed]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+            of, some = np.cumsum(new) - 1, order[new]
+            raw = data.tobytes()
+            got = self.encode([raw[a:b].decode() for a, b in zip(begin[some].tolist(), end[some].tolist())])
+            sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            fresh, starts = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes) - sizes
+            counts[order] = sizes[of]
+        after = np.cumsum(counts)
+        out = np.zeros(after[-1], np.uint32)
+        hit = np.flatnonzero(slot >= 0)
+        _put_runs(out, (after - counts)[hit], self.known.flat, self.known.begin[slot[hit]], counts[hit])
+        if len(missed):
+            _put_runs(out, (after - counts)[order], fresh, starts[of], counts[order])
+            short_ = size[some] <= _LONGEST
+            self.known.put(keys[some][short_], checks[some][short_], sizes[short_], fresh[np.repeat(short_, sizes)])
+        return out, counts
+
+    def column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, and where each row's end; null counts as empty. Long texts are worked through in stretches."""
+        data, offsets = buffer(col)
+        begin = cut_places(data, offsets)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        end = np.append(begin[1:], len(data))
+        long = end - begin > _LONGEST
+        cuts = np.flatnonzero(np.diff(begin // _STRETCH, prepend=-1).astype(bool) | long | np.roll(long, 1)).tolist() + [len(begin)]
+        done = [self._block(data[begin[a] : end[b - 1]], begin[a:b] - begin[a], end[a:b] - begin[a]) for a, b in zip(cuts, cuts[1:])]
+        after = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in done]))])
+        return np.concatenate([ids for ids, _ in done]), after[np.searchsorted(begin, offsets)[1:]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [cut_at_spaces(t) for t in texts]
-        tails = [c[1:] for c in cut]
-        self._learn(self.heads, (c[0] for c in cut), "")
-        self._learn(self.known, (p for c in tails for p in c), " ")
-        head, get = self.heads.__getitem__, self.known.__getitem__
-        return [head(c[0]) + b"".join(map(get, t)) for c, t in zip(cut, tails)]
+        ids, ends = self.column(pa.array(texts, pa.string()))
+        flat, cut = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
 
 @lru_cache(2)
@@ -241,10 +414,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(model(path).encode_pieces)
 
 
-def _texts(col: pa.Array) -> list[str]:
-    return [t or "" for t in col.to_pylist()]
-
-
 def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """Replaces the text column by ``ids_col``, the array of its ids; all other columns stay.
 
@@ -259,12 +428,11 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for part in slices(batches, text_col):
-            got = encode(_texts(part.column(text_col)))
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
+            flat, ends = encode.column(part.column(text_col))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), ids], [*stay, ids_col])
 
-    return docs.mapInArrow(encoded, schema)
+    return docs.transform(mapped, encoded, schema)
 
 
 def bpe_decode(coded: DataFrame, tokenizer: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -287,4 +455,4 @@ def bpe_decode(coded: DataFrame, tokenizer: str, ids_col: str = "token_ids", tex
                 texts = [b.decode("utf-8", "replace") for b in tables.decode(ids, np.cumsum(sizes))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, text_col])
 
-    return coded.mapInArrow(decoded, schema)
+    return coded.transform(mapped, decoded, schema)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mapped
 from .store import discard, keep
 
 #: Edges that one task joins at once.
@@ -54,7 +55,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contracted(edges: DataFrame) -> tuple[DataFrame, int]:
     """Stars of as few partitions as hold ``CHUNK`` edges each, and how many those are."""
     parts = max(1, -(-edges.count() // CHUNK))
-    return keep(edges.coalesce(parts).mapInArrow(_contract, "u long, v long")), parts
+    return keep(edges.coalesce(parts).transform(mapped, _contract, "u long, v long")), parts
 
 
 def _settled(stars: DataFrame) -> bool:

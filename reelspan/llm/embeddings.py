@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mapped
 from .components import components, local_roots
 from .store import keep, partitions
 
@@ -101,7 +102,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
                         keys[i], units[i] = k.astype("<i4").tobytes(), u.astype("<f8").tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("label"), part.column("rep"), part.column("n"), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["label", "rep", "n", "dim", "keys", "x"])
 
-    signs = keep(classes.select("label", "rep", "n", "v").mapInArrow(signed, "label string, rep long, n long, dim int, keys binary, x binary"))
+    signs = keep(classes.select("label", "rep", "n", "v").transform(mapped, signed, "label string, rep long, n long, dim int, keys binary, x binary"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -110,7 +111,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
             yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(times)) for c in ("label", "dim", "rep")] + [pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(keys)], ["label", "dim", "rep", "tab", "bits"])
 
     cells = ["label", "dim", "tab", "bits"]
-    placed = signs.select("label", "dim", "rep", "keys").mapInArrow(spread, "label string, dim int, rep long, tab int, bits int")
+    placed = signs.select("label", "dim", "rep", "keys").transform(mapped, spread, "label string, dim int, rep long, tab int, bits int")
     placed = keep(placed)
     crowded = keep(placed.groupBy(*cells).agg(F.count("*").alias("size")).where("size > 1"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -156,7 +157,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
         if held:
             yield work(pa.Table.from_batches(held))
 
-    hits = keep(full.mapInArrow(linked, "rep long, links long, root long"))
+    hits = keep(full.transform(mapped, linked, "rep long, links long, root long"))
     found = components(hits.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = hits.groupBy("rep").agg(F.sum("links").alias("links"))
     result = keep(classes.select("label", "vkey", "rep", "n").join(counts, "rep", "left").join(found, F.col("rep") == found["node"], "left").select(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import buffer, slices
+from .batches import buffer, mapped, slices
 
 BLOCK = 1024
 RATE = 16000
@@ -492,7 +492,7 @@ def to_flac(rows: DataFrame, text_col: str = "text", media_col: str = "media") -
             media = encode_streams([samples_of(payload(t)) for t in texts])
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], [*stay, "n_bytes", media_col])
 
-    return rows.mapInArrow(coded, schema)
+    return rows.transform(mapped, coded, schema)
 
 
 def facts_of(samples: np.ndarray) -> tuple[int, int, int]:
@@ -532,4 +532,4 @@ def from_flac(media: DataFrame, media_col: str = "media") -> DataFrame:
                 rows.append((d["rate"], d["channels"], d["bits"], len(d["samples"]), *facts_of(d["samples"]), d["pcm"], [{"first_sample": a, "n_samples": n, "offset": a * step} for a, n in d["blocks"]]))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), *(pa.array(v, t) for v, t in zip(zip(*rows), kinds))], [*stay, *names])
 
-    return media.mapInArrow(decoded, schema)
+    return media.transform(mapped, decoded, schema)

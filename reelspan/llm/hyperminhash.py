@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import buffer, mixed, slices, spans_hash, word_hashes, words
+from .batches import buffer, mapped, mixed, slices, spans_hash, word_hashes, words
 from .components import components
 from .store import discard, keep, partitions, possibly_in
 
 MANTISSA = 10
-#: Open buckets of up to this many members pair them; larger ones are compared in blocks of so many rows.
-SMALL, BLOCK = 32, 512
+#: Open buckets of up to this many members pair them; larger ones are compared in blocks of so many rows and shingles at most, on average.
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 18
+#: Meetings of equal shingles that are counted at once.
+_MEETINGS = 1 << 20
 #: Chance of missing a pair that is just at the threshold.
 MISS = 1e-7
 
@@ -101,7 +103,7 @@ def _sketch(docs: DataFrame, width: int, sketcher: Sketcher) -> DataFrame:
                 ["id", "n", "d1", "d2", "regs"],
             )
 
-    return docs.mapInArrow(work, "id long, n long, d1 long, d2 long, regs binary")
+    return docs.transform(mapped, work, "id long, n long, d1 long, d2 long, regs binary")
 
 
 def _banded(reps: DataFrame, sketcher: Sketcher) -> DataFrame:
@@ -114,7 +116,7 @@ def _banded(reps: DataFrame, sketcher: Sketcher) -> DataFrame:
                 each = lambda c: pa.array(np.repeat(np.asarray(part.column(c), np.int64), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each("id"), each("n")], ["key", "id", "n"])
 
-    return reps.select("id", "n", "regs").mapInArrow(work, "key long, id long, n long")
+    return reps.select("id", "n", "regs").transform(mapped, work, "key long, id long, n long")
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -147,7 +149,9 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     rare = ~frequent  # all others: their pairs, counted
     first_b = np.cumsum(cb) - cb
     mine = np.flatnonzero(rare[ta])
-    for part in (mine[i : i + 65536] for i in range(0, len(mine), 65536)):
+    upto = np.cumsum(cb[ta[mine]])
+    cuts = [0, *np.searchsorted(upto, np.arange(_MEETINGS, upto[-1], _MEETINGS)).tolist(), len(mine)] if len(mine) else [0]
+    for part in (mine[i:j] for i, j in zip(cuts, cuts[1:]) if j > i):
         times = cb[ta[part]]
         after = np.cumsum(times)
         pick = np.repeat(first_b[ta[part]] - (after - times), times) + np.arange(int(after[-1]))
@@ -158,12 +162,14 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def _block_links(members: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Links between components of each group, of (grp, id, comp): outsiders of the group's largest component with all members.
 
-    Rows are dealt to blocks by hash, and every block of outsiders meets every block of members in a task of its own. Only edges
-    that join components leave it, a spanning set of them.
+    Rows are dealt by hash to blocks of bounded rows and shingles, and every block of outsiders meets every block of members on its
+    own. Only edges that join components leave it, a spanning set of them.
     """
-    sizes = keep(members.groupBy("grp", "comp").agg(F.count("*").alias("c")))
-    tally = keep(sizes.groupBy("grp").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).select(
-        "grp", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("outer")
+    met = members.join(sets.select("id", "n"), "id")
+    sizes = keep(met.groupBy("grp", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")))
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    tally = keep(sizes.groupBy("grp").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "comp", "s")).alias("top")).select(
+        "grp", F.col("top.comp").alias("main"), blocks(F.col("c"), F.col("s")).alias("blocks"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("outer")
     ).where("outer > 0"))
     met = members.join(tally, "grp").select("*", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int").alias("b"), F.pmod(F.xxhash64("id", F.lit(8)), F.col("outer")).cast("int").alias("o"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -197,7 +203,7 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, parts: int)
         if held:
             yield work(held)
 
-    return full.select("task", "side", "id", "comp", "n", "hashes").mapInArrow(linked, "u long, v long")
+    return full.select("task", "side", "id", "comp", "n", "hashes").transform(mapped, linked, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +226,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         good.append((whole["u"][i].as_py(), whole["v"][i].as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    return met.select("u", "v", "n_u", "n_v", "regs_u", "regs_v", "hashes_u", "hashes_v").mapInArrow(work, "u long, v long")
+    return met.select("u", "v", "n_u", "n_v", "regs_u", "regs_v", "hashes_u", "hashes_v").transform(mapped, work, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], ["id", "hashes"])
 
     wanted = possibly_in(source, "id", keep(used)).where("_maybe").select("id", "text")
-    sets = keep(wanted.mapInArrow(hashed, "id long, hashes binary").join(reps.select("id", "n", "regs"), "id"))
+    sets = keep(wanted.transform(mapped, hashed, "id long, hashes binary").join(reps.select("id", "n", "regs"), "id"))
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
     # the pivot that each row shares most bands with, of those that it can be similar to

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import slices
+from .batches import mapped, slices
 
 #: Names of licenses and wordings of their notices as published; several notices may name one license.
 NOTICES = [
@@ -220,4 +220,4 @@ def license_notices(docs: DataFrame, text_col: str = "text", notices: list[tuple
             found = [[dict(zip(names, f)) for f in scan(t)] if t else [] for t in part.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in stay), pa.array(found, _ARROW)], [*stay, "notices"])
 
-    return docs.mapInArrow(work, schema)
+    return docs.transform(mapped, work, schema)

@@ -44,21 +44,23 @@ def discard(df: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-#: Bits of a membership map, which bound what is broadcast: 2**27, 16 MB, in parts of 2**15.
-MAP_BITS, PART_BITS = 27, 15
+#: Bits of a membership map, which bound what is broadcast: 2**26, 8 MB, in parts of 2**15.
+MAP_BITS, PART_BITS = 26, 15
 
 
 def possibly_in(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """``rows`` with ``_maybe``: false only if the column's value is surely not in the one column of ``ids``.
 
-    A hashed bitmap of fixed size is broadcast, so that what cannot match need not be shuffled to meet a join; a join of the rest
-    makes the answer exact. Null is never in.
+    A hashed bitmap is broadcast whole, of the same size for any input, so that what cannot match need not be shuffled to meet a
+    join; a join of the rest makes the answer exact. Null is never in.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
     own = ids.columns[0]
     maps = ids.where(F.col(own).isNotNull()).select(place(own).alias("p")).groupBy(F.shiftright("p", PART_BITS).alias("_part")).agg(
         F.bitmap_construct_agg(F.col("p").bitwiseAND((1 << PART_BITS) - 1)).alias("_bits")
     )
+    every = ids.sparkSession.range(0, 1 << (MAP_BITS - PART_BITS), 1, 1).select(F.col("id").alias("_part"))
+    maps = every.join(maps, "_part", "left").select("_part", F.coalesce("_bits", F.lit(bytes(1 << (PART_BITS - 3)))).alias("_bits"))
     at = place(column).bitwiseAND((1 << PART_BITS) - 1)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     there = F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import buffer, mixed, slices, spans_hash, word_hashes, words
+from .batches import buffer, mapped, mixed, slices, spans_hash, word_hashes, words
 from .store import keep, partitions
 
 WINDOW = 50
@@ -119,9 +119,9 @@ def repeated_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         if name is not None:
             yield done()
 
-    slices_ = docs.select("text").mapInArrow(sketched, "row int, part int, at binary").repartition(ROWS << (WIDTH_BITS - SLICE_BITS), "row", "part").sortWithinPartitions("row", "part")
+    slices_ = docs.select("text").transform(mapped, sketched, "row int, part int, at binary").repartition(ROWS << (WIDTH_BITS - SLICE_BITS), "row", "part").sortWithinPartitions("row", "part")
     bits = [np.zeros(1 << (WIDTH_BITS - 3), np.uint8) for _ in range(ROWS)]
-    for row, part, raw in slices_.mapInArrow(merged, "row int, part int, bits binary").toLocalIterator():
+    for row, part, raw in slices_.transform(mapped, merged, "row int, part int, bits binary").toLocalIterator():
         bits[row][part << (SLICE_BITS - 3) : (part + 1) << (SLICE_BITS - 3)] = np.frombuffer(raw, np.uint8)
     return bits
 
@@ -234,8 +234,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         if held:
             yield from done()
 
-    sent = narrow.mapInArrow(picked, schema).repartition(n_parts, "shard").sortWithinPartitions("shard")
-    places = keep(sent.mapInArrow(settled, "id long, key long, places binary"))
+    sent = narrow.transform(mapped, picked, schema).repartition(n_parts, "shard").sortWithinPartitions("shard")
+    places = keep(sent.transform(mapped, settled, "id long, key long, places binary"))
     marks = places.groupBy("id", "key").agg(F.collect_list("places").alias("places"))
     met = base.join(marks.hint("shuffle_hash"), ["id", "key"], "left").select("row", "text", "places")
     out_schema = docs.select(F.struct(*[F.col(c) for c in stay]).alias("row")).schema.add("text", T.StringType()).add("n_words", T.LongType()).add("n_removed", T.LongType())
@@ -265,6 +265,6 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             texts = [raw[a + 1 : b].decode() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_words", "n_removed"])
 
-    done = met.mapInArrow(cut, out_schema)
+    done = met.transform(mapped, cut, out_schema)
     order = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_words", "n_removed")]
     return done.select(*order, "n_words", "n_removed")

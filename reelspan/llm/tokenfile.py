@@ -6,8 +6,8 @@ from a directory that counts the ones before every 512 bits, so any id is found
 range of ids without decoding what stands before it.
 
 Files are Parquet, one segment to a row, because Spark's committed writers reach any store and leave one copy if a task is run
-again: the columns are file, segment, first_doc, docs (64-bit ids), ends (64-bit end of each document in the segment), n_tokens and
-codes (the bytes below).
+again: the columns are file, segment, before (ids of the file before this segment), n_nulls and docs (64-bit document ids; the first
+n_nulls are null), ends (64-bit end of each document in the segment), n_tokens and codes (the bytes below).
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import slices
-from .bpe import Encoder, _texts
+from .batches import mapped, slices
+from .bpe import Encoder, byte_alphabet, check_plain
 
 MAGIC = b"DAC1"
 DIRECTORY_BITS = 512
@@ -103,84 +105,103 @@ class Dac:
         return value
 
 
+#: Pieces that the split pattern leaves whole: Latin letters, with a space before them or not.
+_PLAIN = regex.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+
+
 @lru_cache(2)
 def library_encoder(path: str) -> Encoder:
-    """The tokenizers library on each distinct piece between spaces, where its split pattern always cuts."""
+    """The tokenizers library on each distinct piece between places where its split pattern always cuts.
+
+    Plain words go to the library's model at once, all other pieces through all of its steps.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    check_plain(path)
     tok = Tokenizer.from_file(path)
     tok.no_padding()
     tok.no_truncation()
-    if "".join(t.content for t in tok.get_added_tokens_decoder().values()).count(" "):
-        raise ValueError("added tokens with spaces are not supported")
-    return Encoder(lambda pieces: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)], 1_000_000)
+    letters = {b: c for b, c in enumerate(byte_alphabet())}
+    merge = tok.model.tokenize
 
+    def encode(pieces: list[str]) -> list[bytes]:
+        plain = [_PLAIN.fullmatch(p) is not None for p in pieces]
+        rest = iter(tok.encode_batch_fast([p for p, one in zip(pieces, plain) if not one], add_special_tokens=False))
+        return [
+            array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(letters))] if one else next(rest).ids).tobytes()
+            for p, one in zip(pieces, plain)
+        ]
 
-FILE_SCHEMA = "file long, segment long, first_doc long, docs binary, ends binary, n_tokens long, codes binary"
+    return Encoder(encode)
+
+
+FILE_SCHEMA = "file long, segment long, before long, n_nulls long, docs binary, ends binary, n_tokens long, codes binary"
+_NAMES = [x.split(" ")[0] for x in FILE_SCHEMA.split(", ")]
+_KINDS = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64(), pa.binary()]
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends ``end_id`` and writes all ids in ascending order of the document id.
 
     Documents are dealt by ranges of their id and sorted within each; a range is a file, and a file's segments end at the end of a
-    document. A null or empty text has the end id alone. Ids must be integers and not null (the file's order needs them); rows
-    that share an id stand next to each other, in no set order. An empty table writes no segments. Other columns are ignored.
+    document. A null or empty text has the end id alone. Ids must be integers; null ids stand before all others, and rows
+    that share an id stand next to each other, in no set order. A long text is one document of one segment. An empty table writes
+    no segments. Other columns are ignored.
     """
     ordered = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).repartitionByRange("doc").sortWithinPartitions("doc")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, file = library_encoder(tokenizer), TaskContext.get().partitionId()
-        segment, ids, ends, names, n = 0, [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        segment, before, n_nulls, n = 0, 0, 0, 0
+        ids, ends, names = [], [], []
 
         def done() -> pa.RecordBatch:
-            row = [[file], [segment], [names[0]], [np.array(names, "<i8").tobytes()], [np.array(ends, "<i8").tobytes()], [n], [dac_bytes(np.frombuffer(b"".join(ids), "<u4"))]]
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], ["file", "segment", "first_doc", "docs", "ends", "n_tokens", "codes"])
+            docs_, ends_ = (np.concatenate(x).astype("<i8").tobytes() for x in (names, ends))
+            row = (file, segment, before, n_nulls, docs_, ends_, n, dac_bytes(np.concatenate(ids)))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS)], _NAMES)
 
         for part in slices(batches, "text"):
-            for name, got in zip(part.column("doc").to_pylist(), encode(_texts(part.column("text")))):
-                ids += [got, end]
-                n += len(got) // 4 + 1
-                names.append(name)
-                ends.append(n)
-                if n >= SEGMENT_IDS:
-                    yield done()
-                    segment, ids, ends, names, n = segment + 1, [], [], [], 0
+            flat, stops = encode.column(part.column("text"))
+            ids.append(np.insert(flat, stops, end_id))
+            ends.append(n + stops + np.arange(1, len(stops) + 1))
+            names.append(np.asarray(pc.fill_null(part.column("doc"), 0), np.int64))
+            n_nulls += part.column("doc").null_count
+            n = int(ends[-1][-1])
+            if n >= SEGMENT_IDS:
+                yield done()
+                segment, before, n_nulls, n = segment + 1, before + n, 0, 0
+                ids, ends, names = [], [], []
         if names:
             yield done()
 
-    ordered.mapInArrow(coded, FILE_SCHEMA).write.parquet(path)
+    ordered.transform(mapped, coded, FILE_SCHEMA).write.parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) of every document.
 
-    Starts are prefix sums in two levels, over the files (one row each, as many as ranges were written) and over a file's segments.
+    A segment knows the ids before it in its file; what all files before that hold is a prefix sum with one row a file, as many
+    as ranges were written, which bounds what is broadcast. Codes are read where they lie, without a shuffle.
     """
     rows = spark.read.schema(FILE_SCHEMA).parquet(path)
-    files = rows.groupBy("file").agg(F.min("first_doc").alias("first"), F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("file_start"))
-    places = rows.select("file", "segment", "n_tokens")
-    inside = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    places = places.select("file", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("before")).join(files, "file").select(
-        "file", "segment", (F.col("file_start") + F.col("before")).alias("start")
-    )
+    places = rows.join(F.broadcast(files), "file").select((F.col("file_start") + F.col("before")).alias("start"), "n_nulls", "docs", "ends", "codes")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, names, ends, codes in zip(*(batch.column(c).to_pylist() for c in ("start", "docs", "ends", "codes"))):
-                dac, ends = Dac(codes), np.frombuffer(ends, "<i8")
+            for k in range(batch.num_rows):
+                start, n_nulls, names, ends, codes = (batch.column(c)[k].as_py() for c in ("start", "n_nulls", "docs", "ends", "codes"))
+                dac, names, ends = Dac(codes), np.frombuffer(names, "<i8"), np.frombuffer(ends, "<i8")
                 begins = np.concatenate([[0], ends[:-1]])
-                ids = [dac.range(a, b).astype("<u4").tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(names, "<i8")), pa.array(begins + start), pa.array(ends - begins), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
-                )
-
-    return rows.select("file", "segment", "docs", "ends", "codes").join(places, ["file", "segment"]).select("start", "docs", "ends", "codes").mapInArrow(
-        read, "doc_id long, start long, n_tokens long, ids binary"
-    )
+                for at in range(0, len(ends), 1024):
+                    some = slice(at, at + 1024)
+                    ids = [dac.range(a, b).astype("<u4").tobytes() for a, b in zip(begins[some].tolist(), ends[some].tolist())]
+                    docs = pa.array(names[some], mask=np.arange(len(names))[some] < n_nulls)
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(begins[some] + start), pa.array((ends - begins)[some]), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+    return places.transform(mapped, read, "doc_id long, start long, n_tokens long, ids binary")
