@@ -40,6 +40,21 @@ def cut_path(path: Column) -> Column:
     return F.concat(without_extension(path), F.lit("_cut"), ext)
 
 
+def _bare(path: Column) -> Column:
+    """Without the extension of the file name; a name that only begins with a dot has none."""
+    return F.regexp_replace(path, r"(?<=[^/\\])\.[^/\\.]*$", "")
+
+
+def audio_path(path: Column) -> Column:
+    """Where the sound of a media goes that is sent to a model: beside it, as Ogg."""
+    return F.concat(_bare(path), F.lit(".ogg"))
+
+
+def nosilence_path(path: Column) -> Column:
+    """Where the sound goes once silences are cut out."""
+    return F.concat(_bare(path), F.lit("_nosilence.ogg"))
+
+
 def clips_dir(path: Column) -> Column:
     return F.concat(without_extension(path), F.lit("_clips"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,12 @@ def sample_windows(lengths: DataFrame, n: str = "n_samples", size: int = 480_000
     return opened.withColumn("window", F.col("window").cast("long")).withColumn("end_sample", F.least(F.col("start_sample") + size, F.col(n)))
 
 
+def features_first(frames: Column) -> Column:
+    """An array of frames, each an array of features, turned into an array of features over time; all frames have as many as the first."""
+    n = F.coalesce(F.size(F.get(frames, F.lit(0))), F.lit(0))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda f: F.transform(frames, lambda x: F.get(x, f)))).otherwise(F.slice(frames, 1, 0))
+
+
 def downmix(frames: DataFrame, samples: str = "samples", channels: str = "channels") -> DataFrame:
     """Interleaved samples (an array) to ``mono``: the mean of each frame's channels; an unfinished frame is dropped."""
     n = F.floor(F.size(samples) / F.col(channels)).cast("int")

@@ -18,6 +18,11 @@ def speakers(segments: DataFrame) -> DataFrame:
     return segments.select("media_id", "speaker").distinct()
 
 
+def speaker_list(segments: DataFrame) -> DataFrame:
+    """media_id and its distinct speakers as one sorted list (by bytes of UTF-8); a null speaker is left out."""
+    return speakers(segments).groupBy("media_id").agg(F.array_sort(F.collect_list("speaker")).alias("speakers"))
+
+
 def rename_speaker(segments: DataFrame, old: str, new: str) -> DataFrame:
     """``new`` for ``old``, exactly matched; nothing changes if the trimmed new name is empty or the same."""
     name = new.strip()

@@ -9,14 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What the silence detector writes before a time, and how it writes the time.
+STARTS, ENDS, SECONDS = "silence_start: ", "silence_end: ", r"(\d+(\.\d+)?)"
+#: A segment longer than this is a mistake in the data, not speech.
+LONGEST_MS = 10 * 86_400_000
+
+
 def _ms(number: Column) -> Column:
     return F.round(number.try_cast("decimal(30,9)") * 1000).cast("long")
 
 
 def silence_marks(log: DataFrame) -> DataFrame:
     """media_id, ord, kind (S or E) and value of the marker lines of (media_id, ord, line); a start is never read as an end."""
-    start = F.regexp_extract("line", r"silence_start: (\d+(\.\d+)?)", 1)
-    end = F.regexp_extract("line", r"silence_end: (\d+(\.\d+)?)", 1)
+    start = F.regexp_extract("line", STARTS + SECONDS, 1)
+    end = F.regexp_extract("line", ENDS + SECONDS, 1)
     kind = F.when(start != "", "S").when(end != "", "E")
     return log.select("media_id", "ord", kind.alias("kind"), _ms(F.when(start != "", start).otherwise(end)).alias("value")).where("kind is not null and value is not null")
 
@@ -62,20 +68,26 @@ def silence_removal(log: DataFrame, media: DataFrame, min_ms: int = 10_000) -> D
     return cut.unionByName(same.select("media_id", F.lit(0).cast("long").alias("min_time"), F.lit(0).cast("long").alias("offset")))
 
 
-def remap(segments: DataFrame, offsets: DataFrame, end_exclusive: bool = False) -> DataFrame:
-    """Segments with new_start_ms and new_end_ms: each time plus the offset of the last step at or before it, 0 if none.
+def _last_step(rows: DataFrame, offsets: DataFrame, time: str, out: str, strict: bool = False) -> DataFrame:
+    """``rows`` with ``out``: their time plus the offset of the last step at or before it (or before it only), 0 if none.
 
-    One array of steps a media, so one equi-join and no sort of the segments; for media with very many steps use
-    ``remap_by_window``. With ``end_exclusive`` an end that is exactly on a step stays in the range before it.
+    Steps and rows go through one sort together, so a media with very many of either is no more work than its rows. All columns
+    of ``rows`` are carried in a struct, so names cannot clash.
     """
-    steps = offsets.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("min_time", "offset"))).alias("steps"))
+    kind = F.lit(0 if strict else 2)
+    own = rows.select("media_id", F.col(time).alias("t"), F.struct("*").alias("row"), F.lit(None).cast("long").alias("offset"), kind.alias("kind"))
+    steps = offsets.select("media_id", F.col("min_time").alias("t"), F.lit(None).cast(own.schema["row"].dataType).alias("row"), "offset", F.lit(1).alias("kind"))
+    so_far = Window.partitionBy("media_id").orderBy("t", "kind", "offset").rowsBetween(Window.unboundedPreceding, 0)
+    moved = own.unionByName(steps).withColumn("step", F.last("offset", ignorenulls=True).over(so_far)).where("kind <> 1")
+    return moved.select("row.*", (F.col("t") + F.coalesce("step", F.lit(0))).alias(out))
 
-    def moved(t: Column, strict: bool = False) -> Column:
-        past = (lambda s: s["min_time"] < t) if strict else (lambda s: s["min_time"] <= t)
-        return t + F.coalesce(F.aggregate("steps", F.lit(0).cast("long"), lambda a, s: F.when(past(s), s["offset"]).otherwise(a)), F.lit(0))
 
-    joined = segments.join(steps, "media_id", "left")
-    return joined.withColumns({"new_start_ms": moved(F.col("start_ms")), "new_end_ms": moved(F.col("end_ms"), end_exclusive)}).drop("steps")
+def remap(segments: DataFrame, offsets: DataFrame, end_exclusive: bool = False) -> DataFrame:
+    """Segments with new_start_ms and new_end_ms: each time plus the offset of the last step at or before it, 0 if none.
+
+    With ``end_exclusive`` an end that is exactly on a step stays in the range before it. A null time stays null.
+    """
+    return _last_step(_last_step(segments, offsets, "start_ms", "new_start_ms"), offsets, "end_ms", "new_end_ms", end_exclusive)
 
 
 def remap_by_window(points: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -91,9 +103,11 @@ def locate(points: DataFrame, segments: DataFrame, bucket_ms: int = 60_000) -> D
     """(media_id, pid, t) with seg_idx of the first segment that holds t (start <= t < end), else next_start, else stop.
 
     stop says that t is past the end of the last segment. Segments are met by media and time bucket, so that a long media does not
-    pair all its points with all its segments; the next start comes from one sort of starts and points.
+    pair all its points with all its segments; the next start comes from one sort of starts and points. A segment of more than ten
+    days is an error: one false end would fill millions of buckets.
     """
-    spans = segments.where("end_ms > start_ms").select(
+    sane = F.when(F.col("end_ms") - F.col("start_ms") > LONGEST_MS, F.raise_error(F.concat(F.lit("segment too long in media "), F.col("media_id").cast("string"))).cast("boolean")).otherwise(F.col("end_ms") > F.col("start_ms"))
+    spans = segments.where(sane).select(
         "media_id", "seg_idx", "start_ms", "end_ms", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor((F.col("end_ms") - 1) / bucket_ms))).alias("bucket")
     )
     at = points.withColumn("bucket", F.floor(F.col("t") / bucket_ms))

@@ -11,18 +11,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bracketed, segments_of
 from .chunks import chunked, sample_windows
 
+#: Fixed value: what stands for a reply without text.
 NO_TEXT = "No text response"
+#: The segment that a prompt shows as an example.
+EXAMPLE = {"start": "00:00", "end": "00:05", "speaker": "Speaker 1", "text": "A sentence as it was said."}
+
+
+def example_reply() -> str:
+    """A reply of the form that is asked for, as a prompt shows it: a JSON array of one segment, without spaces."""
+    return json.dumps([EXAMPLE], separators=(",", ":"), ensure_ascii=False)
 
 
 def analysis_prompt(glossary: str, speaker_count: int | None, remove_fillers: bool) -> str:
     """Instructions for a transcription, with the clauses that apply."""
-    parts = ["Transcribe the recording as a JSON array of objects with the fields start, end, speaker and text; times as MM:SS."]
+    parts = ["Transcribe the recording as a JSON array of objects with the fields start, end, speaker and text; times as MM:SS.", f"For example: {example_reply()}"]
     if speaker_count:
         parts.append(f"There are {speaker_count} speakers.")
     if glossary:
@@ -79,18 +88,24 @@ def translate(segments: DataFrame, language: str, client: Callable[[list[dict],
     """
     prompt = translation_prompt(language, context)
 
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg_idx")
-        rows = pdf[["start", "end", "speaker", "text"]].to_dict("records")
+    def texts(rows: list[dict]) -> list[str | None]:
         reply = client(rows, prompt)
         start, end = reply.find("["), reply.rfind("]")
         got = json.loads(reply[start : end + 1] if 0 <= start <= end else reply)
         if any(not isinstance(g, dict) or not {"start", "end", "speaker", "text"} <= set(g) for g in got):
             raise ValueError("a reply lacks fields of a segment")
-        texts = [g["text"] for g in got][: len(pdf)]
-        return pdf[["media_id", "seg_idx", "start", "end", "speaker"]].assign(text=texts + [None] * (len(pdf) - len(texts)))
-
-    return chunked(segments, "media_id", "seg_idx", size).groupBy("media_id", "chunk").applyInPandas(ask, "media_id long, seg_idx long, start string, end string, speaker string, text string")
+        return [g["text"] for g in got][: len(rows)] + [None] * (len(rows) - len(got))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for media, rows in zip(batch.column("media_id").to_pylist(), batch.column("rows").to_pylist()):
+                said = texts([{c: r[c] for c in ("start", "end", "speaker", "text")} for r in rows])
+                kept = [pa.array([r[c] for r in rows], t) for c, t in (("seg_idx", pa.int64()), ("start", pa.string()), ("end", pa.string()), ("speaker", pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array([media] * len(rows), pa.int64()), *kept, pa.array(said, pa.string())], ["media_id", "seg_idx", "start", "end", "speaker", "text"])
+
+    # one row a request, gathered in the JVM, so that Python sees batches and not a call for each small group
+    requests = chunked(segments, "media_id", "seg_idx", size).groupBy("media_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start", "end", "speaker", "text"))).alias("rows"))
+    return requests.select(F.col("media_id").cast("long").alias("media_id"), "rows").mapInArrow(ask, "media_id long, seg_idx long, start string, end string, speaker string, text string")
 
 
 def suggest_clips(transcripts: DataFrame, client: Callable[[str, str], str] = offline_clips, count: int = 3, min_seconds: int = 10, max_seconds: int = 120, topic: str | None = None, splicing: bool = False) -> DataFrame:

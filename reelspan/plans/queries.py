@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import wave
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from ..functions import timecode as tc
 from ..operators import chunks, clips, editing, intervals, models
 from ..sinks import text as sinks
 from ..sources import files, tables
+from ..sources.shared import shared_dir
+from ..streaming import silence as streamed
 from . import sql
 
 S, D = SparkSession, DataFrame
@@ -21,9 +28,9 @@ def query(f):
     return f
 
 
-def _filled(rows: D, *columns: str) -> D:
-    """-2 for null in whole-number columns, so that results compare alike in any tool."""
-    return rows.withColumns({c: F.coalesce(c, F.lit(-2).cast("long")) for c in columns})
+def _spelled(rows: D, *columns: str) -> D:
+    """Whole numbers that may be null as strings: tools that compare results turn such columns into floats, each in its own way."""
+    return rows.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
 def _selected(spark: S, d: str) -> D:
@@ -74,6 +81,11 @@ def distinct_speakers(spark: S, d: str) -> D:
     return editing.speakers(tables.segments(spark, d))
 
 
+@query
+def speaker_lists(spark: S, d: str) -> D:
+    return editing.speaker_list(tables.segments(spark, d)).select("media_id", F.array_join("speakers", ",").alias("speakers"))
+
+
 @query
 def rename_speaker(spark: S, d: str) -> D:
     return editing.rename_speaker(tables.segments(spark, d), "user", " Host ").select("media_id", "seg_idx", "speaker")
@@ -160,7 +172,7 @@ def remap_points(spark: S, d: str) -> D:
 
 @query
 def point_lookup(spark: S, d: str) -> D:
-    return _filled(intervals.locate(_points(spark, d, 2500), _ranges(spark, d).withColumnRenamed("pos", "seg_idx")), "seg_idx", "next_start")
+    return _spelled(intervals.locate(_points(spark, d, 2500), _ranges(spark, d).withColumnRenamed("pos", "seg_idx")), "seg_idx", "next_start")
 
 
 @query
@@ -175,7 +187,7 @@ _SHAPES = ["' 00:0' || (x % 10) || ':' || (x % 95)", "(x % 90) || ':' || (x % 70
 @query
 def parse_timestamp(spark: S, d: str) -> D:
     e = tables.table(spark, d, "events").selectExpr("cast(event_id as bigint) AS x").selectExpr("x", "case x % 10 " + " ".join(f"when {i} then {s}" for i, s in enumerate(_SHAPES)) + " end AS ts")
-    return _filled(e.select(F.col("x").alias("event_id"), "ts", tc.strict_ms(F.col("ts")).alias("strict_ms"), tc.lenient_ms(F.col("ts")).alias("lenient_ms")), "strict_ms", "lenient_ms")
+    return _spelled(e.select(F.col("x").alias("event_id"), "ts", tc.strict_ms(F.col("ts")).alias("strict_ms"), tc.lenient_ms(F.col("ts")).alias("lenient_ms")), "strict_ms", "lenient_ms")
 
 
 @query
@@ -225,14 +237,14 @@ def paths(spark: S, d: str) -> D:
     p = tables.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.concat(F.when(F.col("s_suppkey") % 4 == 0, "/a.b/").otherwise("/ab/"), F.col("s_name"), F.when(F.col("s_suppkey") % 3 == 0, "").when(F.col("s_suppkey") % 3 == 1, ".mp4").otherwise(".tar.Gz")).alias("path"))
     return p.select(
         "id", fx.is_media(F.col("path")).alias("is_media"), fx.subtitle_path(F.col("path"), F.when(F.col("id") % 2 == 0, "French").otherwise("Original"), "srt").alias("subtitle"),
-        fx.cut_path(F.col("path")).alias("cut"), fx.clips_dir(F.col("path")).alias("clips"),
+        fx.cut_path(F.col("path")).alias("cut"), fx.clips_dir(F.col("path")).alias("clips"), fx.audio_path(F.col("path")).alias("audio"), fx.nosilence_path(F.col("path")).alias("nosilence"),
     )
 
 
 @query
 def clip_filenames(spark: S, d: str) -> D:
     docs = tables.table(spark, d, "documents")
-    return docs.select("doc_id", fx.clip_filename(F.col("doc_id"), F.substring("text", 1, 40)).alias("filename"))
+    return docs.select("doc_id", fx.clip_filename(F.col("doc_id"), F.col("text")).alias("filename"))
 
 
 @query
@@ -267,9 +279,9 @@ def _replies(spark: S, d: str) -> D:
 def json_extract(spark: S, d: str) -> D:
     found = fx.bracketed(F.col("reply"))
     r = _replies(spark, d).withColumn("json", found).withColumn("rows", fx.segments_of(found)).withColumn("strict", fx.segments_of(found, strict=True))
-    return _filled(r.select(
-        "media_id", "turn", F.col("json").isNotNull().alias("bracketed"), F.when(F.col("turn") % 5 != 4, F.size("rows")).cast("long").alias("n_rows"), F.coalesce(F.size("strict") > 0, F.lit(False)).alias("complete"),
-        F.when(F.col("turn") % 5 != 4, F.get("rows", F.lit(0))["end"]).alias("first_end"),
+    return _spelled(r.select(
+        "media_id", "turn", F.col("json").isNotNull().alias("bracketed"), F.when(F.col("rows").isNotNull(), F.size("rows")).alias("n_rows"), F.col("strict").isNotNull().alias("complete"),
+        F.get("rows", F.lit(0))["end"].alias("first_end"),
     ), "n_rows")
 
 
@@ -338,7 +350,7 @@ def vocabulary(spark: S, d: str) -> D:
 
 @query
 def vocabulary_facts(spark: S, d: str) -> D:
-    return _filled(files.vocabulary_facts(_vocabulary_lines(spark, d)), "blank_id")
+    return _spelled(files.vocabulary_facts(_vocabulary_lines(spark, d)), "blank_id")
 
 
 @query
@@ -403,7 +415,7 @@ def analyse(spark: S, d: str) -> D:
 @query
 def suggest_clips(spark: S, d: str) -> D:
     got = models.suggest_clips(sinks.prompt_lines(tables.clocked(tables.segments(spark, d))))
-    return got.select("media_id", "clip_idx", F.get("segments", F.lit(0))["end"].alias("end"), "title")
+    return got.select("media_id", "clip_idx", F.to_json("segments").alias("ranges"), "title", "reason")
 
 
 def _step(stream: int, frame: int, last: int) -> tuple[int, int]:
@@ -422,5 +434,84 @@ def local_transcript(spark: S, d: str) -> D:
     return models.local_transcript(docs)
 
 
+@query
+def feature_transpose(spark: S, d: str) -> D:
+    key = F.col("o_orderkey")
+    frames = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda f: (key * (t + 2) + f) % 19))
+    turned = tables.table(spark, d, "orders").select(key.cast("long").alias("id"), chunks.features_first(frames).alias("features"))
+    return turned.select("id", F.to_json("features").alias("features"))
+
+
+@query
+def languages(spark: S, d: str) -> D:
+    return tables.table(spark, d, "nation").select(F.explode(F.array(*map(F.lit, fx.LANGUAGES))).alias("language")).distinct()
+
+
+@query
+def settings(spark: S, d: str) -> D:
+    """Stored settings of four kinds: none, some, not JSON, with names that are not known."""
+    k = F.col("n_nationkey")
+    stored = F.when(k % 4 == 0, F.concat(F.lit('{"model": "m'), k.cast("string"), F.lit('", "glossary": "a, b"}'))).when(k % 4 == 1, "{oops").when(k % 4 == 2, '{"apiKey": "k", "other": "x"}')
+    return tables.table(spark, d, "nation").select(k.cast("long").alias("id"), *(c.alias(name) for name, c in files.settings_of(stored).items()))
+
+
+def _scratch(spark: S, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark: S, d: str, path: str) -> None:
+    """Every nation's comment as a text file of its own."""
+    sinks.write_documents(tables.table(spark, d, "nation").select(F.col("n_nationkey").alias("media_id"), F.concat("n_name", F.lit("\n"), "n_regionkey").alias("content")), path)
+
+
+@query
+def text_documents(spark: S, d: str) -> D:
+    """Written as files and read back whole."""
+    _written(spark, d, path := _scratch(spark, "texts"))
+    return files.text_files(spark, path + "/*").select(F.regexp_extract("path", r"media_id=(\d+)", 1).cast("long").alias("media_id"), "content")
+
+
+@query
+def tool_logs(spark: S, d: str) -> D:
+    """Written as files and read back by lines; a media is known by the hash of its path, so only lines are compared."""
+    _written(spark, d, path := _scratch(spark, "logs"))
+    return files.log_lines(spark, path + "/*").groupBy("ord", "line").agg(F.count_distinct("media_id").alias("n"))
+
+
+@query
+def audio(spark: S, d: str) -> D:
+    """Stereo WAV files made of the nations' keys, decoded: 16 bits for even keys, 24 for odd ones."""
+
+    def made(batches):
+        for batch in batches:
+            keys = batch.column("n_nationkey").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(str, keys)), pa.array([_wav(int(k)) for k in keys], pa.binary())], ["path", "content"])
+
+    media = tables.table(spark, d, "nation").select("n_nationkey").mapInArrow(made, "path string, content binary")
+    heard = files.load_audio(media).select(F.col("path").cast("long").alias("id"), F.posexplode("samples").alias("sample", "value"))
+    return heard.select("id", F.col("sample").cast("long").alias("sample"), F.round(F.col("value") * 65536).cast("long").alias("value"))
+
+
+def _wav(key: int) -> bytes:
+    out, width = io.BytesIO(), 2 + key % 2
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(width)
+        w.setframerate(16000)
+        w.writeframes(b"".join(((key * 131 + i * 17) % 2000 - 1000 << 8 * (width - 2)).to_bytes(width, "little", signed=True) for i in range(2 * (50 + key))))
+    return out.getvalue()
+
+
+@query
+def silence_stream(spark: S, d: str) -> D:
+    """Silence pairs as a stream finds them in the lines of the log, read to its end."""
+    source, out, at = (_scratch(spark, name) for name in ("log", "pairs", "progress"))
+    tables.silence_log(spark, d).write.parquet(source)
+    lines = spark.readStream.schema("media_id long, ord long, line string").parquet(source)
+    run = streamed.silence_stream(lines).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("media_id long, ord long, start_ms long, end_ms long, duration_ms long").parquet(out)
+
+
 QUERIES = dict(READY)
 ORACLES = sql.ORACLES

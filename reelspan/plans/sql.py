@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.text import FALLBACK_MODELS, KEYED_HOST, MEDIA_EXTENSIONS
+from ..functions.text import FALLBACK_MODELS, KEYED_HOST, LANGUAGES, MEDIA_EXTENSIONS
+from ..sources.files import DEFAULT_SETTINGS
 
 
 def _pad(n: str, width: int) -> str:
@@ -89,6 +90,7 @@ REPLIES = r"""said AS (
 ORACLES: dict[str, str] = {
     "segments": f"WITH {SEG} SELECT * FROM seg",
     "distinct_speakers": f"WITH {SEG} SELECT DISTINCT media_id, speaker FROM seg",
+    "speaker_lists": f"WITH {SEG} SELECT media_id, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers FROM seg GROUP BY media_id",
     "rename_speaker": f"WITH {SEG} SELECT media_id, seg_idx, CASE WHEN speaker = 'user' THEN 'Host' ELSE speaker END AS speaker FROM seg",
     "speaker_exists": f"WITH {SEG} SELECT DISTINCT media_id FROM seg WHERE speaker = 'assistant'",
     "delete_selected": f"WITH {PICK} SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1)::BIGINT AS seg_idx, start_ms, end_ms, speaker, text FROM seg ANTI JOIN pick USING (media_id, seg_idx)",
@@ -115,7 +117,7 @@ SELECT media_id, pid, t, t + coalesce((SELECT arg_max(x."offset", x.min_time) FR
     "point_lookup": f"""WITH {STEPS}, p AS (SELECT media_id, seg_idx AS pid, seg_idx * 2500 AS t FROM seg), j AS (
   SELECT p.media_id, p.pid, p.t, min(CASE WHEN t >= start_ms AND t < end_ms THEN seg_idx END) AS seg_idx, min(CASE WHEN start_ms > t THEN start_ms END) AS nxt, arg_max(end_ms, seg_idx) AS last_end
   FROM p LEFT JOIN rng ON rng.media_id = p.media_id GROUP BY ALL)
-SELECT media_id, pid, t, coalesce(seg_idx, -2) AS seg_idx, coalesce(CASE WHEN seg_idx IS NULL THEN nxt END, -2) AS next_start, coalesce(seg_idx IS NULL AND nxt IS NULL AND t > last_end, false) AS stop FROM j""",
+SELECT media_id, pid, t, seg_idx::VARCHAR AS seg_idx, CASE WHEN seg_idx IS NULL THEN nxt END::VARCHAR AS next_start, coalesce(seg_idx IS NULL AND nxt IS NULL AND t > last_end, false) AS stop FROM j""",
     "clock_format": f"SELECT event_id, {_clock('event_id * 7919')} AS clock, {_pad('(event_id * 7919 // 60000)', 2)} || ':' || {_pad('(event_id * 7919 // 1000 % 60)', 2)} || '.' || {_pad('(event_id * 7919 % 1000)', 3)} AS minutes FROM events",
     "parse_timestamp": f"""WITH {STAMPS}, a AS (
   SELECT x, ts, replace(trim(ts), ' ', '') AS t, string_split(ts, ':') AS lf FROM stamps
@@ -132,8 +134,8 @@ SELECT media_id, pid, t, coalesce(seg_idx, -2) AS seg_idx, coalesce(CASE WHEN se
     CASE WHEN len(f) = 1 AND main = '' THEN 0 WHEN len(f) <= 3 THEN {_int('f[-1]')} END AS s FROM e
 ), k AS (SELECT *, CASE WHEN s >= 60 THEN m + s // 60 ELSE m END AS m1, CASE WHEN s >= 60 THEN s % 60 ELSE s END AS s1 FROM g
 ), n AS (SELECT *, CASE WHEN m1 >= 60 THEN h + m1 // 60 ELSE h END AS h1, CASE WHEN m1 >= 60 THEN m1 % 60 ELSE m1 END AS m2 FROM k)
-SELECT x AS event_id, ts, coalesce(CASE WHEN t <> '' AND len(f) <= 3 AND h1 >= 0 AND m2 >= 0 AND s1 >= 0 AND ms < 1000 THEN ((h1 * 3600 + m2 * 60 + s1) * 1000 + round(ms))::BIGINT END, -2) AS strict_ms,
-  coalesce(round(1000 * CASE len(lf) WHEN 3 THEN {_lead('lf[1]')} * 3600 + {_lead('lf[2]')} * 60 + {_lead('lf[3]')} WHEN 2 THEN {_lead('lf[1]')} * 60 + {_lead('lf[2]')} ELSE {_lead('ts')} END)::BIGINT, -2) AS lenient_ms FROM n""",
+SELECT x AS event_id, ts, (CASE WHEN t <> '' AND len(f) <= 3 AND h1 >= 0 AND m2 >= 0 AND s1 >= 0 AND ms < 1000 THEN ((h1 * 3600 + m2 * 60 + s1) * 1000 + round(ms))::BIGINT END)::VARCHAR AS strict_ms,
+  (round(1000 * CASE len(lf) WHEN 3 THEN {_lead('lf[1]')} * 3600 + {_lead('lf[2]')} * 60 + {_lead('lf[3]')} WHEN 2 THEN {_lead('lf[1]')} * 60 + {_lead('lf[2]')} ELSE {_lead('ts')} END)::BIGINT)::VARCHAR AS lenient_ms FROM n""",
     "subtitle_clocks": f"""WITH {STAMPS}, a AS (SELECT x, string_split_regex(ts, '[.,]') AS p FROM stamps), b AS (
   SELECT x, string_split(p[1], ':') AS f, CASE WHEN coalesce(p[2], '') = '' THEN '000' ELSE p[2] END AS ms FROM a)
 SELECT x AS event_id, {_fields(',')} AS srt, {_fields('.')} AS vtt FROM b""",
@@ -148,14 +150,14 @@ SELECT media_id, string_agg('[0:v]trim=start=' || start || ':end=' || "end" || '
     "edit_list": f"WITH {SEG} SELECT media_id, seg_idx, start_ms, end_ms, coalesce(sum(end_ms - start_ms) OVER (PARTITION BY media_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_ms FROM seg",
     "paths": f"""WITH p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN '/a.b/' ELSE '/ab/' END || s_name AS stem, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.mp4' ELSE '.tar' END AS mid, CASE s_suppkey % 3 WHEN 2 THEN '.Gz' ELSE '' END AS tail FROM supplier),
 q AS (SELECT id, CASE WHEN mid = '.tar' THEN stem || mid ELSE stem END AS base, CASE WHEN mid = '.mp4' THEN mid ELSE tail END AS ext FROM p)
-SELECT id, ltrim(ext, '.') IN ({', '.join(f"'{e}'" for e in MEDIA_EXTENSIONS)}) AS is_media, base || CASE WHEN id % 2 = 0 THEN '.French' ELSE '' END || '.srt' AS subtitle, base || '_cut' || ext AS cut, base || '_clips' AS clips FROM q""",
-    "clip_filenames": f"SELECT doc_id, {_filename('doc_id', 'substring(text, 1, 40)')} AS filename FROM documents",
+SELECT id, ltrim(ext, '.') IN ({', '.join(f"'{e}'" for e in MEDIA_EXTENSIONS)}) AS is_media, base || CASE WHEN id % 2 = 0 THEN '.French' ELSE '' END || '.srt' AS subtitle, base || '_cut' || ext AS cut, base || '_clips' AS clips, base || '.ogg' AS audio, base || '_nosilence.ogg' AS nosilence FROM q""",
+    "clip_filenames": f"SELECT doc_id, {_filename('doc_id', 'text')} AS filename FROM documents",
     "clip_normalise": f"""WITH {CLIPS} SELECT media_id, clip_idx, len(spans)::BIGINT AS n_ranges, {_clock('spans[1][1] * 1000')} AS start, {_clock('spans[-1][2] * 1000')} AS "end" FROM norm""",
     "clip_plan": f"""WITH {CLIPS} SELECT media_id, clip_idx, {_filename('clip_idx', 'title')} AS filename, CASE WHEN len(spans) = 1 THEN 'single' ELSE 'concat' END AS mode, title, {_clock('spans[1][2] * 1000')} AS first_end FROM norm""",
     "best_clips": f"""WITH {CLIPS}, l AS (SELECT media_id, clip_idx, coalesce(list_sum(list_transform(spans, lambda s: s[2] - s[1])), 0)::BIGINT * 1000 AS length_ms FROM norm), r AS (
   SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY clip_idx) AS rank FROM l WHERE length_ms BETWEEN 10000 AND 32000)
 SELECT media_id, clip_idx, rank, length_ms FROM r WHERE rank <= 3""",
-    "json_extract": f"""WITH {REPLIES} SELECT media_id, turn, k IN (0, 3, 4) AS bracketed, CASE WHEN k IN (0, 3) THEN 2 ELSE -2 END::BIGINT AS n_rows, k = 0 AS complete, CASE WHEN k IN (0, 3) THEN '00:0' || (turn + 2) END AS first_end FROM said""",
+    "json_extract": f"""WITH {REPLIES} SELECT media_id, turn, k IN (0, 3, 4) AS bracketed, CASE WHEN k IN (0, 3) THEN '2' END AS n_rows, k = 0 AS complete, CASE WHEN k IN (0, 3) THEN '00:0' || (turn + 2) END AS first_end FROM said""",
     "saved_transcripts": f"WITH {CLK} SELECT media_id, seg_idx, start, \"end\", speaker, text, CASE WHEN media_id % 2 <> 0 THEN 'about ' || media_id END AS context FROM clk",
     "chunk20": "SELECT lang, doc_id, p AS pos, p // 20 AS chunk FROM (SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::BIGINT AS p FROM documents)",
     "audio_windows": """WITH n AS (SELECT doc_id, n_chars * 1000 AS n_samples FROM documents WHERE n_chars > 0), w AS (
@@ -170,7 +172,7 @@ SELECT id, CASE WHEN len(x) = 0 THEN 0 ELSE list_position(x, list_max(x)) - 1 EN
   SELECT stream_id, coalesce(string_agg(t, '' ORDER BY n, t) FILTER (NOT unk), '') AS s FROM t GROUP BY stream_id)
 SELECT stream_id, array_to_string(list_filter(string_split(s, chr(1)), lambda w: w <> ''), ' ') AS text FROM s""",
     "vocabulary": f"WITH {VOCAB} SELECT * FROM vocab",
-    "vocabulary_facts": f"WITH {VOCAB} SELECT vocab_id, count(DISTINCT token_id) AS vocab_size, coalesce(arg_max(token_id, line_no) FILTER (token IN ('<blk>', '<blank>')), -2) AS blank_id FROM entries GROUP BY vocab_id",
+    "vocabulary_facts": f"WITH {VOCAB} SELECT vocab_id, count(DISTINCT token_id) AS vocab_size, (arg_max(token_id, line_no) FILTER (token IN ('<blk>', '<blank>')))::VARCHAR AS blank_id FROM entries GROUP BY vocab_id",
     "token_lookup": f"WITH {VOCAB} SELECT vocab_id, token_id, l_orderkey AS stream_id, l_linenumber::BIGINT AS pos, token FROM lineitem JOIN vocab ON vocab_id = l_partkey % 4 AND token_id = l_partkey % 300",
     "media_durations": "SELECT user_id AS media_id, arg_min((event_id % 9) * 3600000 + (event_id % 60) * 60000 + (event_id % 59) * 1000 + 250, event_id)::BIGINT AS duration_ms FROM events WHERE event_id % 3 = 0 GROUP BY user_id",
     "base_urls": f"""WITH u AS (SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 1 THEN 'http://' ELSE 'https://' END || lower(n_name) || CASE WHEN n_nationkey % 2 = 0 THEN '.{KEYED_HOST}' ELSE '/x' END AS url FROM nation) SELECT id::BIGINT AS id, url, id % 2 = 0 AS keyed FROM u""",
@@ -181,7 +183,22 @@ SELECT stream_id, array_to_string(list_filter(string_split(s, chr(1)), lambda w:
     "transcript_counts": f"WITH {SEG} SELECT media_id, count(*) AS n_segments, count(DISTINCT speaker) AS n_speakers, max(end_ms) AS length_ms FROM seg GROUP BY media_id",
     "translate": f"WITH {CLK} SELECT media_id, seg_idx, start, \"end\", speaker, '~ ' || text AS text FROM clk",
     "analyse": f"""WITH {SEG} SELECT DISTINCT media_id, 0::BIGINT AS seg_idx, '00:00' AS start, '00:' || {_pad('(media_id % 50 + 1)', 2)} AS "end", 'Speaker 1' AS speaker, 'media ' || media_id AS text FROM seg""",
-    "suggest_clips": f"""WITH {CLK} SELECT media_id, 0::BIGINT AS clip_idx, arg_min("end", seg_idx) AS "end", 'Clip of ' || (1 + length(t) - length(replace(t, chr(10), ''))) || ' lines' AS title FROM (SELECT *, string_agg('x' || text, chr(10)) OVER (PARTITION BY media_id) AS t FROM clk) GROUP BY media_id, t""",
+    "suggest_clips": f"""WITH {CLK} SELECT media_id, 0::BIGINT AS clip_idx, '[{{"start":"' || arg_min(start, seg_idx) || '","end":"' || arg_min("end", seg_idx) || '"}}]' AS ranges, 'first' AS reason, 'Clip of ' || (1 + length(t) - length(replace(t, chr(10), ''))) || ' lines' AS title FROM (SELECT *, string_agg('x' || text, chr(10)) OVER (PARTITION BY media_id) AS t FROM clk) GROUP BY media_id, t""",
+    "feature_transpose": "SELECT o_orderkey AS id, '[' || array_to_string(list_transform(range(5), lambda f: '[' || array_to_string(list_transform(range(4), lambda t: (o_orderkey * (t + 2) + f) % 19), ',') || ']'), ',') || ']' AS features FROM orders",
+    "languages": f"SELECT unnest([{', '.join(f"'{x}'" for x in LANGUAGES)}]) AS language",
+    "settings": f"""SELECT n_nationkey::BIGINT AS id, '{DEFAULT_SETTINGS['baseUrl']}' AS "baseUrl", CASE WHEN n_nationkey % 4 = 2 THEN 'k' ELSE '' END AS "apiKey",
+  CASE WHEN n_nationkey % 4 = 0 THEN 'm' || n_nationkey ELSE '{DEFAULT_SETTINGS['model']}' END AS model, CASE WHEN n_nationkey % 4 = 0 THEN 'a, b' ELSE '' END AS glossary FROM nation""",
+    "text_documents": "SELECT n_nationkey::BIGINT AS media_id, n_name || chr(10) || n_regionkey || chr(10) AS content FROM nation",
+    "tool_logs": """WITH l AS (SELECT n_nationkey AS id, unnest([n_name, n_regionkey::VARCHAR, '']) AS line, unnest([0, 1, 2]) AS ord FROM nation) SELECT ord::BIGINT AS ord, line, count(DISTINCT id) AS n FROM l GROUP BY ALL""",
+    "audio": """SELECT n_nationkey::BIGINT AS id, f AS sample, ((n_nationkey * 131 + 34 * f) % 2000 - 1000 + (n_nationkey * 131 + 34 * f + 17) % 2000 - 1000)::BIGINT AS value FROM nation, range(100) r(f) WHERE f < 50 + n_nationkey""",
+    "silence_stream": f"WITH {SIL} SELECT * FROM sil",
+    "greedy_decode": """WITH RECURSIVE s AS (
+  SELECT c_custkey AS id, c_custkey % 200 AS n, 0::BIGINT AS frame, 0 AS taken, 0::BIGINT AS last, []::BIGINT[] AS out FROM customer
+  UNION ALL
+  SELECT id, n, CASE WHEN tok = 0 OR taken = 9 THEN frame + 1 ELSE frame + greatest(1, bins) END, CASE WHEN tok = 0 OR taken = 9 THEN 0 ELSE taken + 1 END,
+    CASE WHEN tok = 0 THEN last ELSE tok END, CASE WHEN tok = 0 THEN out ELSE list_append(out, tok) END
+  FROM (SELECT *, (id * 7 + frame * 5 + last) % 6 AS tok, (id + frame) % 4 AS bins FROM s WHERE frame < n AND len(out) < 4096))
+SELECT id AS stream_id, array_to_string(out, ' ') AS tokens FROM s WHERE frame >= n OR len(out) >= 4096""",
     "local_transcript": """WITH n AS (SELECT doc_id, n_chars * 1000 AS n FROM documents WHERE n_chars > 0), w AS (SELECT doc_id, n, unnest(range(0, greatest(0, (n - 480000 + 431999) // 432000) + 1)) AS i FROM n)
 SELECT doc_id AS media_id, i AS seg_idx, i * 27000 AS start_ms, i * 27000 + (least(480000, n - i * 432000) // 16)::BIGINT + CASE WHEN least(480000, n - i * 432000) % 16 >= 8 THEN 1 ELSE 0 END AS end_ms, 'Local' AS speaker, 'media ' || doc_id || ' from ' || (i * 432000) AS text FROM w""",
 }

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
-import wave
-from collections.abc import Iterator
+import math
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MEDIA_EXTENSIONS, base64_of, saved_context, saved_segments
@@ -67,6 +67,19 @@ def media_durations(log: DataFrame) -> DataFrame:
     return log.where(F.rlike("line", F.lit(r"Duration: \d+:\d+:\d+"))).groupBy("media_id").agg(F.min_by(ms, "ord").alias("duration_ms"))
 
 
+def required_vocabulary_facts(lines: DataFrame) -> DataFrame:
+    """``vocabulary_facts``; a vocabulary without a blank fails the job."""
+    missing = F.raise_error(F.concat(F.lit("no blank token in vocabulary "), F.col("vocab_id").cast("string"))).cast("long")
+    return vocabulary_facts(lines).withColumn("blank_id", F.coalesce("blank_id", missing))
+
+
+def required_media_durations(log: DataFrame) -> DataFrame:
+    """``media_durations``; a media whose log names no duration fails the job."""
+    all_media = log.select("media_id").distinct()
+    missing = F.raise_error(F.concat(F.lit("no duration in the log of media "), F.col("media_id").cast("string"))).cast("long")
+    return all_media.join(media_durations(log), "media_id", "left").withColumn("duration_ms", F.coalesce("duration_ms", missing))
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(media_id, ord, line) of captured tool logs, a file per media; media_id is a hash of the path."""
     whole = text_files(spark, path)
@@ -81,41 +94,128 @@ def settings(stored: str | None) -> dict[str, str]:
         return dict(DEFAULT_SETTINGS)
 
 
-def resampled(x: np.ndarray, rate: int, to: int, taps: int = 32) -> np.ndarray:
-    """Mono samples at another rate, by a windowed sinc that is cut off below both rates' halves."""
-    if rate == to or not len(x):
-        return x.astype(np.float32)
-    n = int(np.ceil(len(x) * to / rate))
-    cut = min(1.0, to / rate)
-    at = np.arange(n) * rate / to
-    near = np.floor(at).astype(np.int64)
-    reach = np.arange(-taps + 1, taps + 1)
-    place = near[:, None] + reach
-    distance = at[:, None] - place
-    weight = cut * np.sinc(cut * distance) * (0.5 + 0.5 * np.cos(np.pi * np.clip(distance / taps, -1, 1)))
-    inside = (place >= 0) & (place < len(x))
-    return (np.where(inside, x[np.clip(place, 0, len(x) - 1)], 0) * weight).sum(1).astype(np.float32)
+def settings_of(stored: Column) -> dict[str, Column]:
+    """The same for a column of stored JSON, by name of the setting; a value that is no string keeps the default."""
+    found = F.from_json(stored, "map<string,string>")
+    return {name: F.coalesce(F.try_element_at(found, F.lit(name)), F.lit(default)) for name, default in DEFAULT_SETTINGS.items()}
 
 
-def load_audio(media: DataFrame, rate: int = 16000) -> DataFrame:
-    """(path, content) of PCM WAV files to path and samples: mono, the mean of the channels, at ``rate``.
+def filter_bank(rate: int, to: int, taps: int) -> tuple[np.ndarray, int, int]:
+    """Weights of the input samples around an output sample, for every place that one can have between two input samples.
 
-    Other codecs need a decoder that Spark has not; decode them to WAV (or see the FLAC operator) first.
+    Output sample n stands at n * step / phases of the input; a row has 2 * taps weights of a windowed sinc that is cut off below
+    both rates' halves.
+    """
+    phases = to // math.gcd(rate, to)
+    step = rate // math.gcd(rate, to)
+    cut = min(1.0, to / rate)
+    distance = (np.arange(phases) * step % phases / phases)[:, None] - np.arange(-taps + 1, taps + 1)
+    return cut * np.sinc(cut * distance) * (0.5 + 0.5 * np.cos(np.pi * np.clip(distance / taps, -1, 1))), step, phases
+
+
+def resampled_blocks(read: Callable[[int, int], np.ndarray], n: int, rate: int, to: int, taps: int = 32, block: int = 1 << 14) -> Iterator[np.ndarray]:
+    """``n`` mono samples at another rate, a block of output at a time; ``read`` gives a range of the input."""
+    total = -(-n * to // rate)
+    if rate == to:
+        for a in range(0, n, block):
+            yield read(a, min(n, a + block)).astype(np.float32)
+        return
+    bank, step, phases = filter_bank(rate, to, taps)
+    for first in range(0, total, block):
+        at = np.arange(first, min(total, first + block), dtype=np.int64)
+        near = at * step // phases
+        low, high = int(near[0]) - taps + 1, int(near[-1]) + taps + 1
+        inside = np.zeros(high - low)
+        a, b = max(low, 0), min(high, n)
+        if b > a:
+            inside[a - low : b - low] = read(a, b)
+        around = np.lib.stride_tricks.sliding_window_view(inside, 2 * taps)[near - near[0]]
+        yield np.einsum("ij,ij->i", around, bank[at % phases]).astype(np.float32)
+
+
+def resampled(x: np.ndarray, rate: int, to: int, taps: int = 32) -> np.ndarray:
+    """Mono samples at another rate."""
+    found = list(resampled_blocks(lambda a, b: x[a:b], len(x), rate, to, taps))
+    return np.concatenate(found) if found else np.zeros(0, np.float32)
+
+
+class Pcm:
+    """Sound to read by ranges: ``rate``, number of frames ``n``, and the mean of the channels as numbers from -1 to 1."""
+
+    def __init__(self, rate: int, n: int, mono: Callable[[int, int], np.ndarray]):
+        self.rate, self.n, self.mono = rate, n, mono
+
+
+def wav(content: memoryview) -> Pcm:
+    """A RIFF WAV file of whole-number PCM (8, 16, 24 or 32 bits) or 32 or 64 bit floats, read in place."""
+    if bytes(content[:4]) != b"RIFF" or bytes(content[8:12]) != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, form, data = 12, None, None
+    while at + 8 <= len(content) and data is None:
+        name, (size,) = bytes(content[at : at + 4]), struct.unpack_from("<I", content, at + 4)
+        if name == b"fmt ":
+            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
+            if kind == 0xFFFE:  # extensible: the kind begins the subformat
+                (kind,) = struct.unpack_from("<H", content, at + 32)
+            form = kind, channels, rate, bits
+        elif name == b"data":
+            data = content[at + 8 : min(len(content), at + 8 + size)]
+        at += 8 + size + size % 2
+    if form is None or data is None:
+        raise ValueError("a WAV file without format or data")
+    kind, channels, rate, bits = form
+    width = bits // 8
+    if (kind, bits) not in {(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)}:
+        raise ValueError(f"WAV format {kind} with {bits} bits is not supported")
+
+    def mono(a: int, b: int) -> np.ndarray:
+        raw = np.frombuffer(data[a * width * channels : b * width * channels], np.uint8)
+        if kind == 3:
+            x = raw.view(f"<f{width}").astype(np.float64)
+        elif width == 1:
+            x = raw / 128.0 - 1
+        elif width == 3:
+            padded = np.zeros((len(raw) // 3, 4), np.uint8)
+            padded[:, 1:] = raw.reshape(-1, 3)
+            x = padded.ravel().view("<i4") / 2.0**31
+        else:
+            x = raw.view(f"<i{width}") / 2.0 ** (bits - 1)
+        return x.reshape(-1, channels).mean(1)
+
+    return Pcm(rate, len(data) // (width * channels), mono)
+
+
+def audio_blocks(media: DataFrame, rate: int = 16000, decoder: Callable[[memoryview], Pcm] = wav, block: int = 1 << 18) -> DataFrame:
+    """(path, content) to path, first_sample and samples: mono at ``rate``, in blocks of ``block`` samples, so no file is held decoded.
+
+    ``decoder`` turns a file's bytes into sound that is read by ranges; the one here reads WAV. Other codecs need one of their own.
+    A file without frames has no rows.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for raw in pdf["content"]:
-                with wave.open(io.BytesIO(raw)) as w:
-                    width, channels = w.getsampwidth(), w.getnchannels()
-                    data = w.readframes(w.getnframes())
-                    own = w.getframerate()
-                if width == 1:
-                    x = np.frombuffer(data, np.uint8).astype(np.float32) / 128 - 1
-                else:
-                    x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]).astype(np.float64) / 2.0 ** (8 * width - 1)
-                out.append(resampled(x.reshape(-1, channels).mean(1), own, rate))
-            yield pd.DataFrame({"path": pdf["path"], "samples": out})
-
-    return media.select("path", "content").mapInPandas(read, "path string, samples array<float>")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                sound, first, held, size = decoder(memoryview(content.as_buffer())), 0, [], 0
+                for some in resampled_blocks(sound.mono, sound.n, sound.rate, rate):
+                    held.append(some)
+                    size += len(some)
+                    while size >= block:
+                        flat = np.concatenate(held)
+                        yield _audio_row(path, first, flat[:block])
+                        first, held, size = first + block, [flat[block:]], size - block
+                if size:
+                    yield _audio_row(path, first, np.concatenate(held))
+
+    return media.select("path", "content").mapInArrow(read, "path string, first_sample long, samples array<float>")
+
+
+def _audio_row(path: str, first: int, samples: np.ndarray) -> pa.RecordBatch:
+    listed = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples, pa.float32()))
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), listed], ["path", "first_sample", "samples"])
+
+
+def load_audio(media: DataFrame, rate: int = 16000, decoder: Callable[[memoryview], Pcm] = wav) -> DataFrame:
+    """(path, content) to path and samples, whole: mono, the mean of the channels, at ``rate``; see ``audio_blocks`` for long files."""
+    blocks = audio_blocks(media, rate, decoder).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("first_sample", "samples"))).alias("all"))
+    found = blocks.select("path", F.flatten(F.transform("all", lambda b: b["samples"])).alias("samples"))
+    return media.select("path").join(found, "path", "left").select("path", F.coalesce("samples", F.array().cast("array<float>")).alias("samples"))

@@ -73,3 +73,27 @@ def test_locate(spark):
     pts = spark.createDataFrame([(1, i, t) for i, t in enumerate([0, 10, 20, 27, 100000, 130000, 130001])] + [(9, 0, 5)], "media_id long, pid long, t long")
     got = rows(iv.locate(pts, seg).fillna(-1), "media_id", "pid", "seg_idx", "next_start", "stop")
     assert got == [(1, 0, 0, -1, False), (1, 1, -1, 20, False), (1, 2, 2, -1, False), (1, 3, 2, -1, False), (1, 4, 3, -1, False), (1, 5, -1, -1, False), (1, 6, -1, -1, True), (9, 0, -1, -1, False)]
+
+
+def test_remap_against_a_plain_search(spark):
+    rnd = random.Random(12)
+    steps = [(m, t, rnd.randrange(1000)) for m in (1, 2) for t in sorted(rnd.sample(range(0, 5000, 10), 40))]
+    seg = [(m, i, a, a + rnd.randrange(0, 300)) for m in (1, 2, 3) for i, a in enumerate(rnd.choices(range(0, 6000, 10), k=60))] + [(1, 60, None, 5), (1, 60, None, 5)]
+    df = spark.createDataFrame([(*s, "x", 1, 2) for s in seg], "media_id long, seg_idx long, start_ms long, end_ms long, t string, offset long, kind int")
+    for strict in (False, True):
+        def at(m, t, before):
+            past = [o for k, x, o in steps if k == m and (x < t if before else x <= t)] if t is not None else []
+            return None if t is None else t + (past[-1] if past else 0)
+
+        got = iv.remap(df, spark.createDataFrame(steps, "media_id long, min_time long, offset long"), strict)
+        assert got.columns == [*df.columns, "new_start_ms", "new_end_ms"]
+        key = lambda r: tuple(-1 if x is None else x for x in r)
+        assert sorted([(r["media_id"], r["seg_idx"], r["start_ms"], r["new_start_ms"], r["new_end_ms"]) for r in got.collect()], key=key) == sorted([(m, i, a, at(m, a, False), at(m, b, strict)) for m, i, a, b in seg], key=key)
+
+
+def test_a_false_end_is_an_error(spark):
+    import pytest
+
+    seg = spark.createDataFrame([(1, 0, 0, 10**15)], "media_id long, seg_idx long, start_ms long, end_ms long")
+    with pytest.raises(Exception, match="segment too long in media 1"):
+        iv.locate(spark.createDataFrame([(1, 0, 5)], "media_id long, pid long, t long"), seg).collect()

@@ -2,6 +2,8 @@
 
 import io
 import json
+import struct
+import tracemalloc
 import wave
 
 import numpy as np
@@ -58,6 +60,73 @@ def test_audio(spark):
     assert len(got) == 16000 and np.abs(got - want)[200:-200].max() < 0.01
 
 
+def made_wav(kind, bits, channels, rate, data):
+    head = struct.pack("<HHIIHH", kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVE" + b"junk" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(data)) + data
+
+
+@pytest.mark.parametrize("kind, bits", [(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)])
+def test_wav_of_all_widths(kind, bits):
+    want = np.array([[0.5, -0.25], [0.0, 0.75], [-1.0, -0.5]])
+    if kind == 3:
+        data = want.astype(f"<f{bits // 8}").tobytes()
+    else:
+        whole = np.round(want * 2 ** (bits - 1)).astype(int).ravel().tolist()
+        data = bytes(128 + x for x in whole) if bits == 8 else b"".join(x.to_bytes(bits // 8, "little", signed=True) for x in whole)
+    sound = files.wav(memoryview(made_wav(kind, bits, 2, 16000, data)))
+    assert (sound.rate, sound.n) == (16000, 3) and np.allclose(sound.mono(0, 3), want.mean(1), atol=1e-6) and np.allclose(sound.mono(1, 2), want.mean(1)[1:2], atol=1e-6)
+
+
+def test_odd_audio(spark):
+    with pytest.raises(ValueError):
+        files.wav(memoryview(b"no sound at all"))
+    media = spark.createDataFrame([("none", bytearray(made_wav(1, 16, 1, 16000, b""))), ("own", bytearray(b"abc"))], "path string, content binary")
+    assert [r["samples"] for r in files.load_audio(media.where("path = 'none'")).collect()] == [[]]
+    own = files.load_audio(media.where("path = 'own'"), decoder=lambda content: files.Pcm(16000, len(content), lambda a, b: np.frombuffer(content[a:b], np.uint8) / 256.0))
+    assert own.first()["samples"] == [x / 256 for x in b"abc"]
+
+
+def test_audio_blocks(spark):
+    x = (np.sin(np.arange(50000) / 9) * 30000).astype("<i2")
+    media = spark.createDataFrame([("x", bytearray(made_wav(1, 16, 1, 44100, x.tobytes())))], "path string, content binary")
+    blocks = files.audio_blocks(media, block=4000).orderBy("first_sample").collect()
+    assert [r["first_sample"] for r in blocks] == list(range(0, 18141, 4000)) and {len(r["samples"]) for r in blocks[:-1]} == {4000}
+    whole = files.load_audio(media).first()["samples"]
+    assert [v for r in blocks for v in r["samples"]] == whole and len(whole) == -(-50000 * 160 // 441)
+    at = np.arange(len(whole)) * 44100 / 16000
+    assert np.abs(np.array(whole) - np.sin(at / 9) * 30000 / 32768)[100:-100].max() < 0.01
+
+
+def test_resampling_takes_little_memory():
+    tracemalloc.start()
+    n = 44100 * 120
+    assert sum(len(b) for b in files.resampled_blocks(lambda a, b: np.ones(b - a), n, 44100, 16000)) == -(-n * 160 // 441)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
+def test_what_is_missing_can_be_an_error(spark):
+    v = spark.createDataFrame([(1, 0, "<blk> 2"), (2, 0, "a 1")], "vocab_id long, line_no long, line string")
+    assert files.required_vocabulary_facts(v.where("vocab_id = 1")).first()["blank_id"] == 2
+    with pytest.raises(Exception, match="no blank token in vocabulary 2"):
+        files.required_vocabulary_facts(v).collect()
+    log = spark.createDataFrame([(1, 0, "Duration: 00:00:01.00"), (7, 0, "x")], "media_id long, ord long, line string")
+    assert files.required_media_durations(log.where("media_id = 1")).first()["duration_ms"] == 1000
+    with pytest.raises(Exception, match="no duration in the log of media 7"):
+        files.required_media_durations(log).collect()
+
+
+def test_settings_column(spark):
+    rows = [('{"model": "m", "apiKey": null}',), ("oops",), (None,)]
+    got = spark.createDataFrame(rows, "stored string").select(*(c.alias(n) for n, c in files.settings_of(F.col("stored")).items())).collect()
+    assert [r.asDict() for r in got] == [files.DEFAULT_SETTINGS | {"model": "m"}, files.DEFAULT_SETTINGS, files.DEFAULT_SETTINGS]
+
+
+def test_example_reply_is_a_reply():
+    assert json.loads(models.example_reply()) == [models.EXAMPLE] and models.example_reply() in models.analysis_prompt("", None, False)
+
+
 ROWS = [(1, 0, "00:01.000", "00:02.500", "A", "hi"), (1, 1, "01:00:03.000", "01:00:04.000", "B", "ho")]
 KIND = "media_id long, seg_idx long, start string, end string, speaker string, text string"
 

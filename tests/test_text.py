@@ -78,3 +78,21 @@ def test_model_names(spark):
     assert one(spark, fx.model_names(F.lit('{"models":[{"name":"models/a"},{"name":""},{}]}'), F.lit(True))) == ["a"]
     assert one(spark, fx.model_names(F.lit('{"data":[{"id":"b"}]}'), F.lit(False))) == ["b"]
     assert one(spark, fx.model_names(F.lit("oops"), F.lit(False))) == fx.FALLBACK_MODELS[False]
+
+
+def test_audio_paths(spark):
+    from reelspan.functions import text as fx
+    from pyspark.sql import functions as F
+
+    paths = ["/a.b/c.mp4", "/a.b/c", "/a/.hidden", "c.tar.gz", "/x/y."]
+    got = [tuple(spark.range(1).select(f(F.lit(p))).first()[0] for f in (fx.audio_path, fx.nosilence_path)) for p in paths]
+    assert [g[0] for g in got] == ["/a.b/c.ogg", "/a.b/c.ogg", "/a/.hidden.ogg", "c.tar.ogg", "/x/y.ogg"]
+    assert [g[1] for g in got] == [g[0].removesuffix(".ogg") + "_nosilence.ogg" for g in got]
+
+
+def test_features_first(spark):
+    from pyspark.sql import functions as F
+    from reelspan.operators.chunks import features_first
+
+    df = spark.createDataFrame([([[1, 2, 3], [4, 5, 6]],), ([],), (None,), ([[]],)], "x array<array<int>>")
+    assert [r[0] for r in df.select(features_first(F.col("x"))).collect()] == [[[1, 4], [2, 5], [3, 6]], [], None, []]
