@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import buffer, mapped, mixed, slices, spans_hash, word_hashes, words
-from .store import keep, partitions
+from .store import discard, keep, partitions, possibly_in
 
 WINDOW = 50
-#: Words of the runs whose least hash stands for a window in the sketch.
+#: Words of the runs whose least hash, the sign, stands for a window in the sketch.
 GRAM = 8
-#: The sketch: rows and counters a row (2**). Its merged form, one bit a counter, is what is broadcast: 12 MB at any input size.
-ROWS, WIDTH_BITS, SLICE_BITS = 3, 25, 20
-#: Windows that a task gathers before it sends them on.
-FLUSH = 1 << 19
+#: Rows of the count-min sketch; a shard's rows have four counters or more for each sign that it is sent.
+ROWS = 3
+#: Signs or windows that a task gathers before it sends them on, and windows for which there is a shard at least.
+FLUSH, SHARD_WINDOWS = 1 << 19, 1 << 20
 
 
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -59,71 +59,116 @@ class Windows:
         return spans_hash(self.hashes, a, b), spans_hash(word_hashes(self.data, self.starts, self.ends, 1), a, b, 1)
 
 
-def _counters(signs: np.ndarray, row: int) -> np.ndarray:
-    return (mixed(signs + np.uint64((row + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
+def _counters(signs: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (mixed(signs + np.uint64((row + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def repeated_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> list[np.ndarray]:
-    """For each row of the count-min sketch, one bit a counter: whether it counted two or more.
+def estimates(signs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What a count-min sketch of signs with their counts has for each of them: never less than its true total."""
+    bits = max(6, (4 * len(signs) - 1).bit_length())
+    least = np.full(len(signs), np.inf)
+    for row in range(ROWS):
+        at = _counters(signs, row, bits)
+        least = np.minimum(least, np.bincount(at, counts, 1 << bits)[at])
+    return least
 
-    A window is counted under the least hash of the ``gram``-word runs in it, once for each stretch of neighbouring windows that
-    share it. Equal windows have equal least runs, so a counter never shows less than the windows it stands for; a window that
-    starts in two documents always has two or more. Every partition sketches its own documents; sketches are merged by adding
-    up slices of counters, each in bounded memory.
+
+def _dealt(values: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by shard, and (shard, begin, end) of the runs in it."""
+    shard = (mixed(values ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist() + [len(order)]
+    return order, [(int(shard[order[a]]), a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def _batches(rows: list[tuple], names: list[str], kinds: list[pa.DataType], size: int = 2000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), kinds)], names)
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], columns: list[str], work: Callable[[list[list[bytes]]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Rows without a shard's data go through as they are; of each shard, ``work`` gets the data of all its rows, column by column."""
+    shard, held = None, []
+    for whole in batches:
+        plain = whole.filter(pc.is_valid(whole.column("id")))
+        if plain.num_rows:
+            yield plain.select(["id", "key", "found"])
+        for s, *row in zip(*(whole.column(c).to_pylist() for c in ["shard", *columns])):
+            if row[0] is not None:
+                if s != shard and held:
+                    yield from work(list(zip(*held)))
+                    held = []
+                shard = s
+                held.append(row)
+    if held:
+        yield from work(list(zip(*held)))
+
+
+_FOUND = "id long, key long, found binary"
+_FOUND_NAMES, _FOUND_KINDS = ["id", "key", "found"], [pa.int64(), pa.int64(), pa.binary()]
+
+
+def repeated_signs(docs: DataFrame, shards: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(id, key, found) of (id, key, text): signs, 64 bits each, of the text's windows that a count-min sketch has twice or more.
+
+    A window's sign is the least hash of the ``gram``-word runs in it; it is counted once for each stretch of neighbouring windows
+    that share it. Equal windows have equal signs and no count is less than the truth, so a window that starts in two
+    documents is never left out. The sketch grows with the input: it is dealt to shards by sign, every shard merges what the
+    tasks have counted, with the documents that it came from, and answers for these. A sign that a task has met twice itself is
+    known there and goes to its shard once, so very common ones do not gather in a shard.
     """
+    names, kinds = ["shard", *_FOUND_NAMES, "signs", "counts", "docs"], [pa.int32(), *_FOUND_KINDS, pa.binary(), pa.binary(), pa.binary()]
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            signs = np.concatenate(held)
-            out = []
-            for row in range(ROWS):
-                at, n = np.unique(_counters(signs, row), return_counts=True)
-                at = np.repeat(at, np.minimum(n, 2))
-                cuts = np.searchsorted(at, np.arange(0, (1 << WIDTH_BITS) + 1, 1 << SLICE_BITS))
-                out += [(row, s, (at[a:b] & ((1 << SLICE_BITS) - 1)).astype("<u4").tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["row", "part", "at"])
+            signs, ids, keys = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(signs, kind="stable")
+            signs, ids, keys = signs[order], ids[order], keys[order]
+            head = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
+            n = np.diff(np.append(head, len(signs)))
+            twice = np.repeat(n > 1, n)
+            rows = [(i % shards, *row, None, None, None) for i, row in enumerate(_grouped(ids[twice], keys[twice], signs[twice]))]
+            order, runs = _dealt(signs[head], shards)
+            at, counts = head[order], np.minimum(n[order], 2).astype(np.uint8)
+            for shard, a, b in runs:
+                rows.append((shard, None, None, None, signs[at[a:b]].tobytes(), counts[a:b].tobytes(), np.stack([ids[at[a:b]], keys[at[a:b]]]).tobytes()))
+            yield from _batches(rows, names, kinds)
 
         for part in slices(batches, "text"):
             w = Windows(part.column("text"), window, gram)
             if len(w.sign):
                 new = np.ones(len(w.sign), bool)
                 new[1:] = (w.sign[1:] != w.sign[:-1]) | (w.rows[1:] != w.rows[:-1])
-                held.append(w.sign[new])
-                size += len(held[-1])
+                rows = w.rows[new]
+                held.append((w.sign[new], *(np.asarray(part.column(c), np.int64)[rows] for c in ("id", "key"))))
+                size += len(rows)
                 if size > FLUSH:
                     yield from flush()
                     held, size = [], 0
         if held:
             yield from flush()
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, counts = None, None
-
-        def done() -> pa.RecordBatch:
-            bits = np.packbits(counts > 1, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([name[0]], pa.int32()), pa.array([name[1]], pa.int32()), pa.array([bits], pa.binary())], ["row", "part", "bits"])
-
-        for batch in batches:
-            for row, part, at in zip(*(batch.column(c).to_pylist() for c in ("row", "part", "at"))):
-                if (row, part) != name:
-                    if name is not None:
-                        yield done()
-                    name, counts = (row, part), np.zeros(1 << SLICE_BITS, np.uint8)
-                at = np.frombuffer(at, "<u4")
-                twice = np.zeros(len(at), bool)
-                twice[1:] = at[1:] == at[:-1]
-                counts[at[twice]] = 2
-                counts[at[~twice]] = np.minimum(counts[at[~twice]] + 1, 2)
-        if name is not None:
-            yield done()
-
-    slices_ = docs.select("text").transform(mapped, sketched, "row int, part int, at binary").repartition(ROWS << (WIDTH_BITS - SLICE_BITS), "row", "part").sortWithinPartitions("row", "part")
-    bits = [np.zeros(1 << (WIDTH_BITS - 3), np.uint8) for _ in range(ROWS)]
-    for row, part, raw in slices_.transform(mapped, merged, "row int, part int, bits binary").toLocalIterator():
-        bits[row][part << (SLICE_BITS - 3) : (part + 1) << (SLICE_BITS - 3)] = np.frombuffer(raw, np.uint8)
-    return bits
+    def counted(data: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        signs, counts = np.frombuffer(b"".join(data[0]), np.uint64), np.frombuffer(b"".join(data[1]), np.uint8)
+        ids, keys = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in data[2]], 1)
+        told = (counts == 1) & (estimates(signs, counts) > 1)
+        yield from _batches(_grouped(ids[told], keys[told], signs[told]), _FOUND_NAMES, _FOUND_KINDS)
+
+    dealt = docs.select("id", "key", "text").transform(mapped, sent, "shard int, id long, key long, found binary, signs binary, counts binary, docs binary")
+    n = partitions(docs.sparkSession)
+    return dealt.repartition(n, "shard").sortWithinPartitions("shard").transform(mapped, lambda batches: _by_shard(batches, ["signs", "counts", "docs"], counted), _FOUND)
+
+
+def _grouped(ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(document, key, values) with the values of each row together, in order."""
+    if not len(ids):
+        return []
+    order = np.lexsort((values, keys, ids))
+    d, k, v = ids[order], keys[order], values[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])).tolist() + [len(d)]
+    return [(int(d[a]), int(k[a]), v[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
 
 
 def _first_of_each(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,16 +180,6 @@ def _first_of_each(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray) -> tuple[np
     return order, docs[order][np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
 
 
-def _covered(docs: np.ndarray, keys: np.ndarray, places: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(document, key, places) with the places of each row together."""
-    if not len(docs):
-        return []
-    order = np.lexsort((places, keys, docs))
-    d, k, p = docs[order], keys[order], places[order].astype("<u4")
-    cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])).tolist() + [len(d)]
-    return [(int(d[a]), int(k[a]), p[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-
-
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text's words, joined by one space, less those covered by a window that also starts in a smaller id.
 
@@ -153,51 +188,50 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     Null and empty texts have no words and become empty; texts shorter than the window are only respaced. Rows with a null id
     neither cover nor lose words; rows that share an id do not cover each other. An empty table gives an empty result.
 
-    Of the windows that the sketch calls repeated, each task sends one per document and window on, to the shard of its sign;
-    windows that it has seen in a smaller document itself it settles at once, so very common passages arrive once from each task.
-    Shards group by a 128-bit hash of the words and report the covered places, which meet their document again by its id.
+    Only texts with a sign that the sketch calls repeated are looked at again. Of their windows with such a sign, each task sends one
+    per document and window to the shard of its hash; windows that it has seen in a smaller document itself it settles at once, so
+    very common passages arrive once from each task, spread over the shards. Shards group by a 128-bit hash of the words and
+    report the covered places; only texts with such places meet them in a join, all others are respaced where they are. Shards
+    are four a shuffle partition, or more, so that none holds over a million windows on average.
     """
     spark = docs.sparkSession
     stay = [c for c in docs.columns if c not in ("n_words", "n_removed", text_col)]
     base = docs.select(F.struct(*[F.col(c) for c in stay]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    bits = spark.sparkContext.broadcast(repeated_sketch(narrow, window))
     n_parts = partitions(spark)
-    shards = 4 * n_parts
-    columns = ["shard", "id", "key", "h1", "h2", "docs", "places"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    schema = "shard int, id long, key long, h1 binary, h2 binary, docs binary, places binary"
+    signs = keep(repeated_signs(narrow, 4 * n_parts, window))
+    # a sign stands for some twenty windows
+    n_signs = signs.agg(F.sum(F.octet_length("found"))).first()[0] or 0
+    shards = max(4 * n_parts, n_signs // 8 * 20 // SHARD_WINDOWS)
+    names, kinds = ["shard", *_FOUND_NAMES, "h1", "h2", "docs", "places"], [pa.int32(), *_FOUND_KINDS] + 4 * [pa.binary()]
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, held, size = bits.value, [], 0
+        held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h1, h2, sign, ids, keys, places = (np.concatenate(x) for x in zip(*held))
+            h1, h2, ids, keys, places = (np.concatenate(x) for x in zip(*held))
             order, least = _first_of_each(h1, h2, ids)
             own = ids[order]
             known = order[own > least]
-            rows = [(i % shards, d, k, None, None, None, p) for i, (d, k, p) in enumerate(_covered(ids[known], keys[known], places[known]))]
-            rest = order[own == least]
-            shard = (mixed(sign[rest] ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(shards)).astype(np.int64)
-            rest, shard = rest[by := np.argsort(shard, kind="stable")], shard[by]
-            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist() + [len(shard)]
-            for a, b in zip(cuts, cuts[1:]) if len(shard) else ():
+            rows = [(i % shards, *row, None, None, None, None) for i, row in enumerate(_grouped(ids[known], keys[known], places[known]))]
+            rest = np.sort(order[own == least])  # as they came, so that a document's ids and places stand together
+            by, runs = _dealt(h1[rest], shards)
+            rest = rest[by]
+            for shard, a, b in runs:
                 r = rest[a:b]
-                rows.append((int(shard[a]), None, None, h1[r].tobytes(), h2[r].tobytes(), np.stack([ids[r], keys[r]]).astype("<i8").tobytes(), places[r].astype("<u4").tobytes()))
-            for i in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), kinds)], columns)
+                rows.append((shard, None, None, None, h1[r].tobytes(), h2[r].tobytes(), np.stack([ids[r], keys[r]]).tobytes(), places[r].tobytes()))
+            yield from _batches(rows, names, kinds)
 
         for part in slices(batches, "text"):
             w = Windows(part.column("text"), window, GRAM)
-            seen = np.ones(len(w.sign), bool)
-            for row, table in enumerate(tables):
-                at = _counters(w.sign[seen], row)
-                seen[seen] = table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-            which = np.flatnonzero(seen)
+            lists = [np.frombuffer(b"".join(x), np.uint64) for x in part.column("signs").to_pylist()]
+            of = mixed(np.arange(len(lists), dtype=np.uint64) + np.uint64(1))
+            wanted = np.concatenate(lists) ^ np.repeat(of, [len(x) for x in lists])
+            which = np.flatnonzero(np.isin(w.sign ^ of[w.rows], wanted)) if len(w.sign) else []
             if len(which):
                 rows = w.rows[which]
                 ids, keys = (np.asarray(part.column(c), np.int64)[rows] for c in ("id", "key"))
-                held.append((*w.full(which), w.sign[which], ids, keys, w.at[which] - w.first[:-1][rows]))
+                held.append((*w.full(which), ids, keys, (w.at[which] - w.first[:-1][rows]).astype(np.uint32)))
                 size += len(which)
                 if size > FLUSH:
                     yield from flush()
@@ -205,39 +239,23 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         if held:
             yield from flush()
 
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-        names, types = ["id", "key", "places"], [pa.int64(), pa.int64(), pa.binary()]
-
-        def done() -> Iterator[pa.RecordBatch]:
-            h1, h2 = (np.frombuffer(b"".join(h[i] for h in held), np.uint64) for i in (0, 1))
-            pairs = np.concatenate([np.frombuffer(h[2], "<i8").reshape(2, -1) for h in held], 1)
-            places = np.frombuffer(b"".join(h[3] for h in held), "<u4")
-            order, least = _first_of_each(h1, h2, pairs[0])
-            late = order[pairs[0][order] > least]
-            rows = _covered(pairs[0][late], pairs[1][late], places[late])
-            for i in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000]), types)], names)
-
-        for whole in batches:
-            plain = whole.filter(pc.is_valid(whole.column("id")))
-            if plain.num_rows:
-                yield plain.select(names)
-            for s, *row in zip(*(whole.column(c).to_pylist() for c in ("shard", "h1", "h2", "docs", "places"))):
-                if row[0] is None:
-                    continue
-                if s != shard:
-                    if held:
-                        yield from done()
-                    shard, held = s, []
-                held.append(row)
-        if held:
-            yield from done()
-
-    sent = narrow.transform(mapped, picked, schema).repartition(n_parts, "shard").sortWithinPartitions("shard")
-    places = keep(sent.transform(mapped, settled, "id long, key long, places binary"))
-    marks = places.groupBy("id", "key").agg(F.collect_list("places").alias("places"))
-    met = base.join(marks.hint("shuffle_hash"), ["id", "key"], "left").select("row", "text", "places")
+    def settled(data: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        h1, h2 = (np.frombuffer(b"".join(x), np.uint64) for x in data[:2])
+        ids, keys = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in data[2]], 1)
+        places = np.frombuffer(b"".join(data[3]), np.uint32)
+        order, least = _first_of_each(h1, h2, ids)
+        late = order[ids[order] > least]
+        yield from _batches(_grouped(ids[late], keys[late], places[late]), _FOUND_NAMES, _FOUND_KINDS)
+
+    some = possibly_in(narrow, "id", signs.select("id")).where("_maybe").drop("_maybe")
+    marked = some.join(signs.groupBy("id", "key").agg(F.collect_list("found").alias("signs")), ["id", "key"]).select("id", "key", "text", "signs")
+    sent = marked.transform(mapped, picked, "shard int, id long, key long, found binary, h1 binary, h2 binary, docs binary, places binary").repartition(n_parts, "shard").sortWithinPartitions("shard")
+    places = keep(sent.transform(mapped, lambda batches: _by_shard(batches, ["h1", "h2", "docs", "places"], settled), _FOUND))
+    discard(signs)
+    marks = places.groupBy("id", "key").agg(F.collect_list("found").alias("places"))
+    split = possibly_in(base, "id", places.select("id"))
+    plain = split.where("not _maybe").select("row", "text", F.lit(None).cast("array<binary>").alias("places"))
+    met = split.where("_maybe").drop("_maybe").join(marks, ["id", "key"], "left").select("row", "text", "places")
     out_schema = docs.select(F.struct(*[F.col(c) for c in stay]).alias("row")).schema.add("text", T.StringType()).add("n_words", T.LongType()).add("n_removed", T.LongType())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +283,6 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             texts = [raw[a + 1 : b].decode() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_words", "n_removed"])
 
-    done = met.transform(mapped, cut, out_schema)
+    done = plain.unionByName(met).transform(mapped, cut, out_schema)
     order = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_words", "n_removed")]
     return done.select(*order, "n_words", "n_removed")
