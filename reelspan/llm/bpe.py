@@ -419,7 +419,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col:
 
     Ids equal those of the tokenizers library without special tokens added; strings of added tokens in a text get their id, as
     there. A null or empty text has no ids. The text is never cut short: a word of any length is one tree. A column already named
-    ``ids_col`` is replaced. Every row is encoded on its own, without a shuffle.
+    ``ids_col`` is replaced. Every row is encoded on its own, without a shuffle; repeated rows each get their ids, an empty table
+    gives an empty result.
     """
     stay = [c for c in docs.columns if c not in (text_col, ids_col)]
     docs = docs.select(*stay, text_col)
@@ -438,7 +439,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col:
 def bpe_decode(coded: DataFrame, tokenizer: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """Adds ``text_col``, the decoded text of ``ids_col``, in place of a column of that name.
 
-    Bytes that are no UTF-8 become U+FFFD; null or no ids give an empty text.
+    Bytes that are no UTF-8 become U+FFFD; null or no ids give an empty text, an empty table an empty result, repeated rows a text
+    each. A row is decoded whole.
     """
     columns = [c for c in coded.columns if c != text_col]
     coded = coded.select(*columns)

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from .batches import buffer, mapped, slices
 
 BLOCK = 1024
+#: Samples that are coded side by side.
+STRETCH = 1 << 20
 RATE = 16000
 #: Coefficients of the format's fixed predictors, by order, latest sample first.
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
@@ -108,18 +110,12 @@ def _pack(values: np.ndarray, lengths: np.ndarray, rows: np.ndarray, n_rows: int
     return words.astype(">u4").view(np.uint8)[:total], start
 
 
-def encode_streams(streams: list[np.ndarray], bits: int = 8, block: int = BLOCK, lpc: bool = False) -> list[bytes]:
-    """One FLAC stream (one channel) for each array of signed samples of up to 16 bits.
-
-    A frame takes the fixed predictor of order 0 to 2 with the least sum of residuals, or with ``lpc`` a quantised linear
-    predictor of order 2, and one Rice parameter; a frame that this would not shorten is stored verbatim, a constant one as one sample.
-    """
+def _coded_frames(streams: list[np.ndarray], numbers: np.ndarray, bits: int, block: int, lpc: bool) -> list[list[bytes]]:
+    """The frames of stretches of streams, with their checksums; ``numbers`` are the first frames' places in their streams."""
     bits_code = {v: k for k, v in BITS_CODES.items()}[bits]
-    counts = [max(1, -(-len(s) // block)) for s in streams]
+    counts = [-(-len(s) // block) for s in streams]
     owner = np.repeat(np.arange(len(streams)), counts)
     sizes = np.concatenate([np.minimum(block, np.maximum(0, len(s) - block * np.arange(c))) for s, c in zip(streams, counts)]).astype(np.int64)
-    if not sizes.all():
-        raise ValueError("a stream needs samples")
     n = len(sizes)
     flat = np.concatenate(streams).astype(np.int32)
     begin = np.cumsum(sizes) - sizes
@@ -184,7 +180,7 @@ def encode_streams(streams: list[np.ndarray], bits: int = 8, block: int = BLOCK,
     packed, start = _pack(values[used], lengths[used], np.nonzero(used)[0], n)
     stop = np.append(start[1:], len(packed))
     headers = []
-    number = np.arange(n) - (np.cumsum(counts) - counts)[owner]
+    number = np.arange(n) - (np.cumsum(counts) - counts - numbers)[owner]
     cache: dict[tuple[int, int], bytes] = {}
     for i, size in zip(number.tolist(), sizes.tolist()):
         if (i, size) not in cache:
@@ -196,20 +192,41 @@ def encode_streams(streams: list[np.ndarray], bits: int = 8, block: int = BLOCK,
     joined = np.frombuffer(b"".join(frames), np.uint8)
     ends = np.cumsum(lens)
     checks = crc16(joined, ends - lens, ends)
-    out, at = [], 0
-    for s, c in zip(streams, counts):
-        own = [f + int(v).to_bytes(2, "big") for f, v in zip(frames[at : at + c], checks[at : at + c].tolist())]
+    checked = [f + int(v).to_bytes(2, "big") for f, v in zip(frames, checks.tolist())]
+    return [checked[b - c : b] for c, b in zip(counts, np.cumsum(counts).tolist())]
+
+
+def encode_streams(streams: list[np.ndarray], bits: int = 8, block: int = BLOCK, lpc: bool = False) -> list[bytes]:
+    """One FLAC stream (one channel) for each array of signed samples of up to 16 bits.
+
+    A frame takes the fixed predictor of order 0 to 2 with the least sum of residuals, or with ``lpc`` a quantised linear
+    predictor of order 2, and one Rice parameter; a frame that this would not shorten is stored verbatim, a constant one as one
+    sample. Long streams are worked through in stretches of ``STRETCH`` samples, so memory does not grow with them.
+    """
+    if not all(len(s) for s in streams):
+        raise ValueError("a stream needs samples")
+    stretch = max(1, STRETCH // block) * block
+    todo = [(k, a) for k, s in enumerate(streams) for a in range(0, len(s), stretch)]
+    coded: list[list[bytes]] = [[] for _ in streams]
+    while todo:
+        upto = np.cumsum([min(stretch, len(streams[k]) - a) for k, a in todo[: STRETCH // block + 1]])
+        some = todo[: max(1, int(np.searchsorted(upto, stretch, "right")))]
+        todo = todo[len(some) :]
+        for (k, _), own in zip(some, _coded_frames([streams[k][a : a + stretch] for k, a in some], np.array([a // block for _, a in some]), bits, block, lpc)):
+            coded[k] += own
+    out = []
+    for s, own in zip(streams, coded):
         own_sizes = list(map(len, own))
+        sizes = np.minimum(block, len(s) - block * np.arange(len(own)))
         width = (bits + 7) // 8
         digest = hashlib.md5(np.ascontiguousarray(s, f"<i{width}").tobytes(), usedforsecurity=False).digest()
         info = block.to_bytes(2, "big") * 2 + min(own_sizes).to_bytes(3, "big") + max(own_sizes).to_bytes(3, "big")
         info += (RATE << 44 | (bits - 1) << 36 | len(s)).to_bytes(8, "big") + digest
         points = b"".join(
             (block * i).to_bytes(8, "big") + off.to_bytes(8, "big") + size.to_bytes(2, "big")
-            for i, (off, size) in enumerate(zip((np.cumsum(own_sizes) - own_sizes).tolist(), sizes[at : at + c].tolist()))
+            for i, (off, size) in enumerate(zip((np.cumsum(own_sizes) - own_sizes).tolist(), sizes.tolist()))
         )
         out.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(points).to_bytes(3, "big") + points + b"".join(own))
-        at += c
     return out
 
 
@@ -449,7 +466,7 @@ def decode_streams(streams: list[bytes]) -> list[dict]:
             if (crc16(joined, t[:, 1], stop - 2) != told).any():
                 raise ValueError("a frame does not match its checksum")
             for row, (i, size) in enumerate(zip(some.tolist(), t[:, 3].tolist())):
-                parts[i] = np.stack([c[row, :size] for c in got], 1)
+                parts[i] = np.stack([c[row, :size] for c in got], 1).astype(np.int16 if out[todo[i][0]]["bits"] <= 16 else np.int32)
     for (k, *_), part in zip(todo, parts):
         blocks = out[k]["blocks"]
         blocks.append((sum(blocks[-1]) if blocks else 0, len(part)))
@@ -457,7 +474,10 @@ def decode_streams(streams: list[bytes]) -> list[dict]:
     for o in out:
         o["samples"] = np.concatenate(o.pop("parts"))
         width = (o["bits"] + 7) // 8
-        raw = o["samples"].astype("<i4").view(np.uint8).reshape(*o["samples"].shape, 4)[..., :width].tobytes()
+        if width == 3:
+            raw = o["samples"].astype("<i4").view(np.uint8).reshape(*o["samples"].shape, 4)[..., :width].tobytes()
+        else:
+            raw = o["samples"].astype(f"<i{width}").tobytes()
         if o["md5"] != b"\0" * 16 and hashlib.md5(raw, usedforsecurity=False).digest() != o["md5"]:
             raise ValueError("the samples do not match the stream's digest")
         o["pcm"] = (np.frombuffer(raw, np.uint8) ^ np.uint8(128)).tobytes() if width == 1 else raw
@@ -477,8 +497,9 @@ def payload(text: bytes) -> bytes:
 def to_flac(rows: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """Replaces the text column by ``media_col``: its UTF-8 bytes, padded with zeros to a positive multiple of 64, as FLAC.
 
-    A byte is an unsigned 8-bit sample. Null texts count as empty. Also adds ``n_bytes``, the size
-    before padding. Columns of these two names are replaced; all others stay. Rows are coded on their own, without a shuffle.
+    A byte is an unsigned 8-bit sample. Null texts count as empty. Also adds ``n_bytes``, the size before padding. Columns of
+    these two names are replaced; all others stay. Rows are coded on their own, without a shuffle: repeated rows give equal streams,
+    an empty table an empty result, and a text of any length one stream, coded in stretches.
     """
     stay = [c for c in rows.columns if c not in (text_col, media_col, "n_bytes")]
     rows = rows.select(*stay, text_col)
@@ -497,8 +518,12 @@ def to_flac(rows: DataFrame, text_col: str = "text", media_col: str = "media") -
 
 def facts_of(samples: np.ndarray) -> tuple[int, int, int]:
     """Largest magnitude, energy and number of sign changes of the first channel."""
-    x = samples[:, 0].astype(np.int64)
-    return int(np.abs(x).max()), int((x * x).sum()), int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+    peak = energy = 0
+    for a in range(0, len(samples), STRETCH):
+        x = samples[a : a + STRETCH, 0].astype(np.int64)
+        peak, energy = max(peak, int(np.abs(x).max())), energy + int((x * x).sum())
+    below = samples[:, 0] < 0
+    return peak, energy, int((below[1:] != below[:-1]).sum())
 
 
 BLOCKS = T.ArrayType(T.StructType([T.StructField("first_sample", T.LongType()), T.StructField("n_samples", T.IntegerType()), T.StructField("offset", T.LongType())]))

@@ -13,7 +13,7 @@ from .store import keep, word_count
 MOST = 3
 #: Cells with more than 1/HOT of all rows are split by document hash.
 HOT = 2048
-STEPS_A_JOB, TOLERANCE, MOST_JOBS = 5, 1e-9, 12
+STEPS_A_JOB, TOLERANCE, MOST_JOBS = 5, 1e-9, 60
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST) -> DataFrame:
@@ -63,7 +63,8 @@ def tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
 
     The rates are the ones nearest to 1 in relative entropy among those that meet the token constraint and the cap; tilt is
     the constraint's multiplier. The dual is convex and splits by source, so every step is one aggregation of the cells, for all
-    sources together; a step that would leave the bracket is replaced by its middle.
+    sources together; a step that would leave the bracket is replaced by its middle. Steps go on until every source meets its target or its bracket is
+    as narrow as numbers are; else it is an error.
     """
     lengths = cells.where("size > 0").groupBy("source").agg(
         (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"), F.min("size").alias("least")
@@ -77,9 +78,10 @@ def tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
         for _ in range(STEPS_A_JOB):
             state = _newton(cells, state)
         state = keep(state)
-        if (state.agg(F.max("gap")).first()[0] or 0) <= TOLERANCE:
-            break
-    return state.select("source", "scale", "tilt")
+        # a bracket that no double lies in is as near as a tilt can be
+        if not state.where((F.col("gap") > TOLERANCE) & (F.col("high") - F.col("low") > 1e-14 * F.greatest(F.abs("low"), F.abs("high")))).take(1):
+            return state.select("source", "scale", "tilt")
+    raise ArithmeticError("the tilts of some sources do not meet their targets")
 
 
 def _settle(cells: DataFrame, targets: DataFrame) -> DataFrame:
@@ -95,8 +97,8 @@ def _settle(cells: DataFrame, targets: DataFrame) -> DataFrame:
     ).select("c.source", "c.size", "c.part", "c.n", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, rate and whole ``copies`` from 0 to 3.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, rate and whole ``copies`` from 0 to 3, and the ``carry`` columns.
 
     size is the number of words. Documents of one source and size share a rate, so Newton's steps run over counted cells
     (source, size), not over documents. Copies come from the running sum of rates in order of size, rounded: the words taken are
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), id_col: str = "do
     own, last in order. Equal rows are separate documents. An empty table gives an empty result. A cell with over 1/2048 of all
     rows is split by document hash; the list of such cells has under 2048 rows, which bounds its broadcast.
     """
-    base = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    base = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.struct(F.lit(0), *carry).alias("carried")))
     pairs = keep(base.groupBy("source", "size").agg(F.count("*").alias("n")))
     n_rows, words = pairs.agg(F.sum("n"), F.sum(F.col("n") * F.col("size"))).first()
     targets = keep(source_targets(pairs.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights))
@@ -115,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), id_col: str = "do
     hot = pairs.where(F.col("n") * HOT > (n_rows or 1)).select("source", "size", F.ceil(F.col("n") * HOT / F.lit(n_rows or 1)).alias("parts"))
     part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts"))).cast("long")
     dealt = base.alias("b").join(F.broadcast(hot.alias("h")), F.col("b.source").eqNullSafe(F.col("h.source")) & (F.col("b.size") == F.col("h.size")), "left").select(
-        "id", "b.source", "b.size", part.alias("part")
+        "id", "b.source", "b.size", part.alias("part"), "carried"
     )
     cells = dealt.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     full = F.when(F.col("target") > 0, F.lit(float(MOST))).otherwise(0.0)
@@ -145,9 +147,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), id_col: str = "do
         counted = keep(_settle(counted, targets))
     nth = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("id", F.lit(3)), "id"))
     plan = counted.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "size", "part", "n", "copies", "source_size", "target")
-    ranked = dealt.select("id", "source", "size", "part", nth.alias("nth"))
+    ranked = dealt.select("id", "source", "size", "part", nth.alias("nth"), "carried")
     return ranked.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d.part") == F.col("p.part"))).select(
         F.col("d.id").alias(id_col), F.col("d.source").alias(source_col), F.col("d.size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target",
         (F.col("copies") / F.col("n")).alias("rate"),
         (F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.col("copies") % F.col("n")).cast("long")).cast("long").alias("copies"),
+        *(F.col("carried")[c].alias(c) for c in carry),
     )

@@ -86,3 +86,33 @@ def test_columns(docs, rows, nothing):
 
 def test_null_stream(spark):
     assert from_flac(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first()["pcm"] is None
+
+
+def test_long_streams_are_coded_in_stretches(monkeypatch):
+    data = streams()
+    whole = encode_streams(data, block=192)
+    monkeypatch.setattr(flac, "STRETCH", 400)
+    assert encode_streams(data, block=192) == whole
+    with pytest.raises(ValueError):
+        encode_streams([np.zeros(0, np.int8)])
+
+
+def test_query_digest(spark, rows, tmp_path):
+    """All columns of op8 from the texts alone, but for the streams, which are coded and read back here."""
+    import hashlib
+    import zlib
+
+    from reelspan.llm.queries import op8_flac
+
+    spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op8_flac(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [r[0] for r in rows]
+    for i, text, *_ in rows:
+        raw, r = (text or "").encode(), got[i]
+        full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        x = [b - 128 for b in full]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r["feature"] == f"peak={max(map(abs, x))} energy={sum(v * v for v in x)} crossings={turns} frames={-(-len(full) // flac.BLOCK)}"
+        (media,) = encode_streams([np.array(x, np.int8)])
+        assert decode_streams([media])[0]["pcm"] == full and (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())

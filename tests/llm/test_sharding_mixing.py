@@ -103,3 +103,68 @@ def test_mix_edges(spark, nothing):
     assert {r["doc_id"]: (r["size"], r["target"], r["copies"]) for r in mix(blank).collect()} == {1: (0, 0.0, 1), 2: (0, 0.0, 1)}
     same = spark.createDataFrame([(i, "a b c", "s") for i in range(500)] + [(1, "a b c", "s")], "doc_id long, text string, source string")
     assert mix(same).agg(F.sum(F.col("copies") * F.col("size"))).first()[0] == 1503
+
+
+@pytest.mark.parametrize("cells", [None, 8192])
+def test_shards_against_a_plain_order(spark, cells):
+    """Groups of one to three equal texts, none of them heavy: shards and slots are those of one sorted list."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.repeat(F.lit("ab"), (F.col("id") % 1700 % 3).cast("int")), F.col("id") % 1700).alias("text"))
+    plain = [(r["h"] % 2**64, r["doc_id"], len(r["text"]) + 1) for r in df.select("*", F.xxhash64("text").alias("h")).collect()]
+    total, groups = sum(s for *_, s in plain), defaultdict(list)
+    for h, i, s in sorted(plain):
+        groups[h].append((i, s))
+    at, want, slots = 0, {}, defaultdict(int)
+    for own in groups.values():
+        weight = sum(s for _, s in own)
+        shard = min(6, (2 * at + weight) * 7 // (2 * total))
+        for i, _ in own:
+            want[i] = (shard, slots[shard])
+            slots[shard] += 1
+        at += weight
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in byte_shards(df.repartition(3), 7, cells=cells).collect()} == want
+
+
+def test_shard_query(spark, rows, tmp_path):
+    from reelspan.llm.queries import op1_sharding
+
+    spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r.asDict() for r in op1_sharding(spark, str(tmp_path)).collect()}
+    for i, text, *_ in rows:
+        raw = (text or "").encode()
+        assert (got[i]["size"], got[i]["text_crc32"], got[i]["law"], got[i]["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+    slots = defaultdict(list)
+    for r in got.values():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) and 0 <= k < 16 for k, s in slots.items())
+
+
+def test_mix_query(spark, rows, tmp_path):
+    from reelspan.llm.queries import op9_mixing
+
+    spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    size, source = {r[0]: len(brute_words(r[1])) for r in rows}, {r[0]: r[3] for r in rows}
+    total, longest = defaultdict(int), defaultdict(int)
+    for i, s in source.items():
+        total[s] += size[i]
+        longest[s] = max(longest[s], size[i])
+    want, taken = plain_targets(dict(total)), defaultdict(int)
+    for r in op9_mixing(spark, str(tmp_path)).collect():
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], total[s]) and r["target"] == pytest.approx(want[s])
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] % max(1, r["size"]) == 0
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + longest[s] / 2 + 5 for s in total)
+
+
+def test_mix_carries_columns_and_shares_among_equal_rows(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "a b c", "en", "s", 5)] * 4 + [(1, "other words here", "en", "s", 16)] * 2 + [(None, "no id at all", None, "s", 12)] * 2 + [(7, "x y " * 30, "en", "t", 120)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = defaultdict(int)
+    for r in mix(docs.withColumn("k", F.col("text")), carry=("k",)).collect():
+        wanted[r["doc_id"], r["k"], r["source"]] += r["copies"]
+    got = defaultdict(int)
+    for r in cp.mixing_stage(spark, docs, "").collect():
+        got[r["doc_id"], r["text"], r["source"]] += 1
+    assert dict(got) == {k: n for k, n in wanted.items() if n}
