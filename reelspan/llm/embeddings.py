@@ -29,10 +29,26 @@ def tables_for(n: int, cosine: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-(same**bits)))
 
 
+def apart_for(cosine: float, bits: int = 64) -> int:
+    """Most sign bits, of ``bits`` more, in which vectors at the threshold differ but for a chance of ``MISS``."""
+    differ = math.acos(cosine) / math.pi
+    beyond, most = 1.0, -1
+    while beyond > MISS:
+        most += 1
+        beyond -= math.comb(bits, most) * differ**most * (1 - differ) ** (bits - most)
+    return most
+
+
 def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng(20240607 + dim).standard_normal((dim, bits * tables))
 
 
+def _sketch(x: np.ndarray) -> np.ndarray:
+    """64 sign bits of each row, by planes of their own."""
+    signs = x @ np.random.default_rng(977 + x.shape[1]).standard_normal((x.shape[1], 64)) > 0
+    return np.packbits(signs, 1).view(np.int64).ravel()
+
+
 def _keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     signs = (x @ _planes(x.shape[1], bits, tables) > 0).reshape(len(x), tables, bits)
     return (signs.astype(np.int32) << np.arange(bits, dtype=np.int32)).sum(2, dtype=np.int32)
@@ -42,37 +58,58 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<f8").reshape(len(col), -1)
 
 
-def _compare(rows: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers that link, of rows sorted by group; a pair that an earlier table holds too is left to that table."""
-    group, side, x, keys, table = rows["group"], rows["side"], rows["x"], rows["keys"], rows["table"]
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _meetings(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all that meet, of rows sorted by group: in a pair of two blocks only rows of different blocks."""
     d = 1
     while True:
         a = np.flatnonzero(group[:-d] == group[d:]) if d < len(group) else np.zeros(0, np.int64)
         if not len(a):
-            return np.concatenate(found_a), np.concatenate(found_b)
-        # in a pair of two blocks only rows of different blocks meet
+            return
         a = a[(side[a] != side[a + d]) | (side[a] == 2)]
-        for a_ in (a[i : i + 65536] for i in range(0, len(a), 65536)):
-            b_ = a_ + d
-            hit = np.einsum("ij,ij->i", x[a_], x[b_]) >= cosine
-            a_, b_ = a_[hit], b_[hit]
-            if len(a_):
-                first = (keys[a_] == keys[b_]).argmax(1)
-                mine = first == table[a_]
-                found_a.append(a_[mine])
-                found_b.append(b_[mine])
+        yield from ((x, x + d) for x in (a[i : i + 65536] for i in range(0, len(a), 65536)))
         d += 1
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by group, in tables that no group is cut by."""
+    held: list[pa.RecordBatch] = []
+    for whole in batches:
+        for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+            # all but the last group of what is held can be done
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            group = table.column("group").to_numpy()
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compare(rows: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers that link, of rows sorted by group; a pair that an earlier table holds too is left to that table."""
+    x, keys, table = rows["x"], rows["keys"], rows["table"]
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _meetings(rows["group"], rows["side"]):
+        hit = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+        a, b = a[hit], b[hit]
+        if len(a):
+            mine = (keys[a] == keys[b]).argmax(1) == table[a]
+            found_a.append(a[mine])
+            found_b.append(b[mine])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of ``rows``: id, n_links (other rows linked directly), component_id (least id reachable) and kept.
 
     Rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is at least ``cosine``.
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; vectors of different length do not link.
     Equal vectors with one label are one class from the start and count as many links as they are. Every other pair at the
-    threshold shares a table's sign bits but for a chance of 1e-8 and is then confirmed by its cosine. Buckets of more than 256
-    rows are compared in pairs of blocks spread over tasks; links are counted where they are found and only spanning edges leave a
+    threshold shares a table's sign bits but for a chance of 1e-8 and is then confirmed by its cosine. Rows of a bucket are first
+    compared by 64 sign bits of other planes, and only those that are near enough in these to any other (again but for 1e-8) have
+    their vectors fetched. Buckets of more than 256 rows are compared in pairs of blocks spread over tasks; links are counted where they are found and only spanning edges leave a
     block, so neither pairs nor groups are gathered. Ids are integers; a null id is kept as a row without links. Rows that share an id
     and a vector are separate rows. An empty table gives an empty result.
     """
@@ -92,37 +129,49 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
             for part in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
                 sizes = np.asarray(part.column("v").value_lengths())
                 flat, begin = np.asarray(part.column("v").flatten(), np.float64), np.cumsum(sizes) - sizes
-                keys, units = [b""] * len(sizes), [b""] * len(sizes)
+                keys, units, sketch = [b""] * len(sizes), [b""] * len(sizes), np.zeros(len(sizes), np.int64)
                 for dim in np.unique(sizes):
                     mine = np.flatnonzero(sizes == dim)
                     x = flat[begin[mine][:, None] + np.arange(dim)]
                     x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the norm
                     x /= np.sqrt((x * x).sum(1, keepdims=True))
+                    sketch[mine] = _sketch(x)
                     for i, k, u in zip(mine.tolist(), _keys(x, bits, int(tables)), x):
                         keys[i], units[i] = k.astype("<i4").tobytes(), u.astype("<f8").tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("rep"), part.column("n"), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], ["label", "rep", "n", "dim", "keys", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("rep"), part.column("n"), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(units, pa.binary()), pa.array(sketch)], ["label", "rep", "n", "dim", "keys", "x", "sketch"])
 
-    signs = keep(classes.select("label", "rep", "n", "v").transform(mapped, signed, "label string, rep long, n long, dim int, keys binary, x binary"))
+    signs = keep(classes.select("label", "rep", "n", "v").transform(mapped, signed, "label string, rep long, n long, dim int, keys binary, x binary, sketch long"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), "<i4")
             times = np.repeat(np.arange(part.num_rows), tables)
-            yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(times)) for c in ("label", "dim", "rep")] + [pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(keys)], ["label", "dim", "rep", "tab", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(times)) for c in ("label", "dim", "rep", "sketch")] + [pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(keys)], ["label", "dim", "rep", "sketch", "tab", "bits"])
 
     cells = ["label", "dim", "tab", "bits"]
-    placed = signs.select("label", "dim", "rep", "keys").transform(mapped, spread, "label string, dim int, rep long, tab int, bits int")
+    placed = signs.select("label", "dim", "rep", "sketch", "keys").transform(mapped, spread, "label string, dim int, rep long, sketch long, tab int, bits int")
     placed = keep(placed)
     crowded = keep(placed.groupBy(*cells).agg(F.count("*").alias("size")).where("size > 1"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(5)), blocks).cast("int")
-    seated = placed.join(crowded, cells).select(*cells, "rep", blocks.alias("blocks"), own.alias("own"))
+    seated = placed.join(crowded, cells).select(*cells, "rep", "sketch", blocks.alias("blocks"), own.alias("own"))
     # a block meets itself (side 2) and every other block (sides 0 and 1)
-    dealt = seated.select(*cells, "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    dealt = seated.select(*cells, "rep", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         F.xxhash64(*cells, F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "tab", "rep",
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "tab", "rep", "sketch",
     )
-    full = dealt.join(signs, "rep").select("group", "side", "tab", "rep", "n", "keys", "x").repartition(max(partitions(rows.sparkSession), 1), "group").sortWithinPartitions("group")
+    n_parts, apart = max(partitions(rows.sparkSession), 1), apart_for(cosine)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            sketch, some = table.column("sketch").to_numpy(), np.zeros(table.num_rows, bool)
+            for a, b in _meetings(table.column("group").to_numpy(), table.column("side").to_numpy()):
+                hit = np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)) <= apart
+                some[a[hit]] = some[b[hit]] = True
+            yield from table.filter(pa.array(some)).select(["group", "side", "tab", "rep"]).combine_chunks().to_batches()
+
+    met = dealt.repartition(n_parts, "group").sortWithinPartitions("group").transform(mapped, near, "group long, side int, tab int, rep long")
+    full = keep(met).join(signs, "rep").select("group", "side", "tab", "rep", "n", "keys", "x").repartition(n_parts, "group").sortWithinPartitions("group")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(table: pa.Table) -> pa.RecordBatch:
@@ -143,19 +192,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
             some = np.flatnonzero(total)
             return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(total[some]), pa.array(nodes[root[some]])], ["rep", "links", "root"])
 
-        held: list[pa.RecordBatch] = []
-        for whole in batches:
-            for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
-                # a group's rows stay together: all but the last group of what is held can be done
-                held.append(batch)
-                table = pa.Table.from_batches(held)
-                group = table.column("group").to_numpy()
-                cut = int(np.searchsorted(group, group[-1]))
-                if cut:
-                    yield work(table.slice(0, cut))
-                    held = table.slice(cut).to_batches()
-        if held:
-            yield work(pa.Table.from_batches(held))
+        yield from map(work, _whole_groups(batches))
 
     hits = keep(full.transform(mapped, linked, "rep long, links long, root long"))
     found = components(hits.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
