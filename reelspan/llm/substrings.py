@@ -86,26 +86,58 @@ def _batches(rows: list[tuple], names: list[str], kinds: list[pa.DataType], size
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), kinds)], names)
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch], columns: list[str], work: Callable[[list[list[bytes]]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Rows without a shard's data go through as they are; of each shard, ``work`` gets the data of all its rows, column by column."""
-    shard, held = None, []
+def _packed(ids: np.ndarray, keys: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, documents, values) with a row for each bucket of documents: their ids, keys and numbers of values, and the values."""
+    if not len(ids):
+        return []
+    bucket = (mixed(ids.astype(np.uint64) ^ mixed(keys.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((values, keys, ids, bucket))
+    b, d, k, v = bucket[order], ids[order], keys[order], values[order]
+    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
+    docs = np.stack([d[head], k[head], np.diff(np.append(head, len(d)))])
+    cuts = np.flatnonzero(np.diff(b[head], prepend=-1)).tolist() + [len(head)]
+    at = [*head.tolist(), len(d)]
+    return [(int(b[at[i]]), docs[:, i:j].tobytes(), v[at[i] : at[j]].tobytes()) for i, j in zip(cuts, cuts[1:])]
+
+
+def _unpacked(packed: DataFrame, kind: type) -> DataFrame:
+    """(id, key, found) of packed rows: one row a document, with all its values of that kind in order."""
+
+    def opened(data: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        ids, keys, n = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in data[0]], 1)
+        values = np.frombuffer(b"".join(data[1]), kind)
+        ids, keys = np.repeat(ids, n), np.repeat(keys, n)
+        order = np.lexsort((values, keys, ids))
+        d, k, v = ids[order], keys[order], values[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])).tolist() + [len(d)]
+        rows = [(int(d[a]), int(k[a]), v[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        yield from _batches(rows, ["id", "key", "found"], [pa.int64(), pa.int64(), pa.binary()])
+
+    dealt = packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.transform(mapped, lambda batches: _by_key(batches, "bucket", ["docs", "found"], opened), "id long, key long, found binary")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str, columns: list[str], work: Callable[[list[list[bytes]]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``key``, ``work`` gets the data of all rows of a key, column by column; packed rows with a null there go on as they are."""
+    last, held = None, []
     for whole in batches:
-        plain = whole.filter(pc.is_valid(whole.column("id")))
-        if plain.num_rows:
-            yield plain.select(["id", "key", "found"])
-        for s, *row in zip(*(whole.column(c).to_pylist() for c in ["shard", *columns])):
+        if key != "bucket":
+            plain = whole.filter(pc.is_valid(whole.column("bucket")))
+            if plain.num_rows:
+                yield plain.select(_PACKED_NAMES)
+        for k, *row in zip(*(whole.column(c).to_pylist() for c in [key, *columns])):
             if row[0] is not None:
-                if s != shard and held:
+                if k != last and held:
                     yield from work(list(zip(*held)))
                     held = []
-                shard = s
+                last = k
                 held.append(row)
     if held:
         yield from work(list(zip(*held)))
 
 
-_FOUND = "id long, key long, found binary"
-_FOUND_NAMES, _FOUND_KINDS = ["id", "key", "found"], [pa.int64(), pa.int64(), pa.binary()]
+_PACKED = "bucket int, docs binary, found binary"
+_PACKED_NAMES, _PACKED_KINDS = ["bucket", "docs", "found"], [pa.int32(), pa.binary(), pa.binary()]
 
 
 def repeated_signs(docs: DataFrame, shards: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -117,7 +149,7 @@ def repeated_signs(docs: DataFrame, shards: int, window: int = WINDOW, gram: int
     tasks have counted, with the documents that it came from, and answers for these. A sign that a task has met twice itself is
     known there and goes to its shard once, so very common ones do not gather in a shard.
     """
-    names, kinds = ["shard", *_FOUND_NAMES, "signs", "counts", "docs"], [pa.int32(), *_FOUND_KINDS, pa.binary(), pa.binary(), pa.binary()]
+    names, kinds = ["shard", *_PACKED_NAMES, "signs", "counts", "of"], [pa.int32(), *_PACKED_KINDS, pa.binary(), pa.binary(), pa.binary()]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -129,7 +161,7 @@ def repeated_signs(docs: DataFrame, shards: int, window: int = WINDOW, gram: int
             head = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
             n = np.diff(np.append(head, len(signs)))
             twice = np.repeat(n > 1, n)
-            rows = [(i % shards, *row, None, None, None) for i, row in enumerate(_grouped(ids[twice], keys[twice], signs[twice]))]
+            rows = [(row[0] % shards, *row, None, None, None) for row in _packed(ids[twice], keys[twice], signs[twice], shards)]
             order, runs = _dealt(signs[head], shards)
             at, counts = head[order], np.minimum(n[order], 2).astype(np.uint8)
             for shard, a, b in runs:
@@ -154,21 +186,12 @@ def repeated_signs(docs: DataFrame, shards: int, window: int = WINDOW, gram: int
         signs, counts = np.frombuffer(b"".join(data[0]), np.uint64), np.frombuffer(b"".join(data[1]), np.uint8)
         ids, keys = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in data[2]], 1)
         told = (counts == 1) & (estimates(signs, counts) > 1)
-        yield from _batches(_grouped(ids[told], keys[told], signs[told]), _FOUND_NAMES, _FOUND_KINDS)
+        yield from _batches(_packed(ids[told], keys[told], signs[told], shards), _PACKED_NAMES, _PACKED_KINDS)
 
-    dealt = docs.select("id", "key", "text").transform(mapped, sent, "shard int, id long, key long, found binary, signs binary, counts binary, docs binary")
+    dealt = docs.select("id", "key", "text").transform(mapped, sent, f"shard int, {_PACKED}, signs binary, counts binary, of binary")
     n = partitions(docs.sparkSession)
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard").transform(mapped, lambda batches: _by_shard(batches, ["signs", "counts", "docs"], counted), _FOUND)
-
-
-def _grouped(ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(document, key, values) with the values of each row together, in order."""
-    if not len(ids):
-        return []
-    order = np.lexsort((values, keys, ids))
-    d, k, v = ids[order], keys[order], values[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])).tolist() + [len(d)]
-    return [(int(d[a]), int(k[a]), v[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    answers = dealt.repartition(n, "shard").sortWithinPartitions("shard").transform(mapped, lambda batches: _by_key(batches, "shard", ["signs", "counts", "of"], counted), _PACKED)
+    return _unpacked(answers, np.uint64)
 
 
 def _first_of_each(h1: np.ndarray, h2: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +226,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     # a sign stands for some twenty windows
     n_signs = signs.agg(F.sum(F.octet_length("found"))).first()[0] or 0
     shards = max(4 * n_parts, n_signs // 8 * 20 // SHARD_WINDOWS)
-    names, kinds = ["shard", *_FOUND_NAMES, "h1", "h2", "docs", "places"], [pa.int32(), *_FOUND_KINDS] + 4 * [pa.binary()]
+    names, kinds = ["shard", *_PACKED_NAMES, "h1", "h2", "of", "places"], [pa.int32(), *_PACKED_KINDS] + 4 * [pa.binary()]
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -213,7 +236,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             order, least = _first_of_each(h1, h2, ids)
             own = ids[order]
             known = order[own > least]
-            rows = [(i % shards, *row, None, None, None, None) for i, row in enumerate(_grouped(ids[known], keys[known], places[known]))]
+            rows = [(row[0] % shards, *row, None, None, None, None) for row in _packed(ids[known], keys[known], places[known], shards)]
             rest = np.sort(order[own == least])  # as they came, so that a document's ids and places stand together
             by, runs = _dealt(h1[rest], shards)
             rest = rest[by]
@@ -224,7 +247,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
         for part in slices(batches, "text"):
             w = Windows(part.column("text"), window, GRAM)
-            lists = [np.frombuffer(b"".join(x), np.uint64) for x in part.column("signs").to_pylist()]
+            lists = [np.frombuffer(x, np.uint64) for x in part.column("found").to_pylist()]
             of = mixed(np.arange(len(lists), dtype=np.uint64) + np.uint64(1))
             wanted = np.concatenate(lists) ^ np.repeat(of, [len(x) for x in lists])
             which = np.flatnonzero(np.isin(w.sign ^ of[w.rows], wanted)) if len(w.sign) else []
@@ -245,16 +268,17 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         places = np.frombuffer(b"".join(data[3]), np.uint32)
         order, least = _first_of_each(h1, h2, ids)
         late = order[ids[order] > least]
-        yield from _batches(_grouped(ids[late], keys[late], places[late]), _FOUND_NAMES, _FOUND_KINDS)
+        yield from _batches(_packed(ids[late], keys[late], places[late], shards), _PACKED_NAMES, _PACKED_KINDS)
 
     some = possibly_in(narrow, "id", signs.select("id")).where("_maybe").drop("_maybe")
-    marked = some.join(signs.groupBy("id", "key").agg(F.collect_list("found").alias("signs")), ["id", "key"]).select("id", "key", "text", "signs")
-    sent = marked.transform(mapped, picked, "shard int, id long, key long, found binary, h1 binary, h2 binary, docs binary, places binary").repartition(n_parts, "shard").sortWithinPartitions("shard")
-    places = keep(sent.transform(mapped, lambda batches: _by_shard(batches, ["h1", "h2", "docs", "places"], settled), _FOUND))
+    marked = some.join(signs, ["id", "key"]).select("id", "key", "text", "found")
+    sent = marked.transform(mapped, picked, f"shard int, {_PACKED}, h1 binary, h2 binary, of binary, places binary").repartition(n_parts, "shard").sortWithinPartitions("shard")
+    late = sent.transform(mapped, lambda batches: _by_key(batches, "shard", ["h1", "h2", "of", "places"], settled), _PACKED)
+    places = keep(_unpacked(late, np.uint32))
     discard(signs)
-    marks = places.groupBy("id", "key").agg(F.collect_list("found").alias("places"))
+    marks = places.select("id", "key", F.col("found").alias("places"))
     split = possibly_in(base, "id", places.select("id"))
-    plain = split.where("not _maybe").select("row", "text", F.lit(None).cast("array<binary>").alias("places"))
+    plain = split.where("not _maybe").select("row", "text", F.lit(None).cast("binary").alias("places"))
     met = split.where("_maybe").drop("_maybe").join(marks, ["id", "key"], "left").select("row", "text", "places")
     out_schema = docs.select(F.struct(*[F.col(c) for c in stay]).alias("row")).schema.add("text", T.StringType()).add("n_words", T.LongType()).add("n_removed", T.LongType())
 
@@ -263,9 +287,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             data, offsets = buffer(part.column("text"))
             starts, ends, first = words(data, offsets)
             change = np.zeros(len(starts) + 1, np.int64)
-            for i, lists in enumerate(part.column("places").to_pylist()):
-                if lists:
-                    at = first[i] + np.frombuffer(b"".join(lists), "<u4").astype(np.int64)
+            for i, found in enumerate(part.column("places").to_pylist()):
+                if found:
+                    at = first[i] + np.frombuffer(found, np.uint32).astype(np.int64)
                     np.add.at(change, at, 1)
                     np.add.at(change, at + window, -1)
             gone = np.cumsum(change)[:-1] > 0
