@@ -119,6 +119,13 @@ class Scanner:
         self.made_of = np.zeros((len(self.notices), len(vocabulary) + 1), np.uint8)
         for i, (_, notice) in enumerate(self.notices):
             self.made_of[i, :-1] = [vocabulary[k] in notice for k in order.tolist()]
+        # of any t + 1 different words of a notice, a span within t differences has one: the longest ones are the rarest
+        place = {vocabulary[k]: n for n, k in enumerate(order.tolist())}
+        self.anchors = np.zeros(self.made_of.shape, bool)
+        for i, (_, notice) in enumerate(self.notices):
+            few = sorted(set(notice), key=lambda w: (-len(w), w))[: int(MAY_DIFFER * len(notice)) + 1]
+            self.anchors[i, [place[w] for w in few]] = len(few) > int(MAY_DIFFER * len(notice))
+            self.anchors[i, :-1] |= len(few) <= int(MAY_DIFFER * len(notice))
 
     def reductions(self, block: bytes) -> list[int]:
         """Bytes that each notice as dictionary takes off the compressed block."""
@@ -146,8 +153,8 @@ class Scanner:
     def near(self, col: pa.Array) -> dict[int, list[tuple[int, int, int]]]:
         """By row: (first word, end, notice) of the stretches that hold enough of a notice's words to have it within its tolerance.
 
-        A span within t differences of a notice of m words has m + t words at most, of which m - t are the notice's. No other
-        spans can match, so nothing is lost. Words are those of ``wording``.
+        A span within t differences of a notice of m words has m + t words at most, of which m - t are the notice's, among them one
+        of its anchors. No other spans can match, so nothing is lost. Words are those of ``wording``.
         """
         data, offsets = buffer(col)
         low = _LOWER[data]
@@ -168,27 +175,27 @@ class Scanner:
         hashes = word_hashes(low, begin, end)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         at[self.hashes[at] != hashes] = -1
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        stop = first[1:][row]
+        every = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        there = np.bincount(at + 1, minlength=len(self.hashes) + 1)[1:] > 0  # of the words, without those that no notice has
         out: dict[int, list[tuple[int, int, int]]] = {}
-        place = np.arange(len(at))
-        for i, (_, notice) in enumerate(self.notices):
-            most = int(MAY_DIFFER * len(notice))
-            if not notice:
-                continue
-            seen = np.concatenate([[0], np.cumsum(self.made_of[i][at], dtype=np.int64)])
-            if seen[-1] < len(notice) - most:
-                continue
-            reach = np.minimum(place + len(notice) + most, stop)
+        for i in np.flatnonzero((self.anchors[:, :-1] & there).any(1)).tolist():
+            notice, rows = self.notices[i][1], np.unique(every[self.anchors[i][at]])
+            most, n = int(MAY_DIFFER * len(notice)), first[rows + 1] - first[rows]
+            # the words of these rows alone, each row from its own beginning
+            begin = np.cumsum(n) - n
+            own = np.repeat(first[rows] - begin, n) + np.arange(n.sum())
+            stop, row = np.repeat(begin + n, n), np.repeat(rows, n)
+            seen = np.concatenate([[0], np.cumsum(self.made_of[i][at[own]], dtype=np.int64)])
+            reach = np.minimum(np.arange(len(own)) + len(notice) + most, stop)
             starts = np.flatnonzero(seen[reach] - seen[:-1] >= len(notice) - most)
             if not len(starts):
                 continue
             new = np.ones(len(starts), bool)
-            new[1:] = starts[1:] > reach[starts[:-1]]
-            new[1:] |= row[starts[1:]] != row[starts[:-1]]
+            new[1:] = (starts[1:] > reach[starts[:-1]]) | (row[starts[1:]] != row[starts[:-1]])
             heads = np.flatnonzero(new)
+            shift = np.repeat(begin, n)
             for a, b in zip(starts[heads].tolist(), reach[starts[np.append(heads[1:], len(starts)) - 1]].tolist()):
-                out.setdefault(int(row[a]), []).append((a - int(first[row[a]]), b - int(first[row[a]]), i))
+                out.setdefault(int(row[a]), []).append((a - int(shift[a]), b - int(shift[a]), i))
         return out
 
     def scan(self, text: str) -> list[tuple]:
