@@ -12,6 +12,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+# Cases that must come out as given.
 @pytest.mark.parametrize("index, label, name", [(0, None, "clip_001.mp4"), (1, "My Clip", "clip_002_MyClip.mp4"), (2, "a/b\\c!", "clip_003_abc.mp4"), (999, "é_-x", "clip_1000_é_-x.mp4"), (3, "!?", "clip_004.mp4")])
 def test_clip_filename(spark, index, label, name):
     assert one(spark, fx.clip_filename(F.lit(index), F.lit(label).cast("string"))) == name
@@ -40,6 +41,7 @@ def test_saved_shapes(spark):
     assert one(spark, fx.saved_segments(F.lit("oops"))) is None
 
 
+# Cases that must come out as given.
 @pytest.mark.parametrize("values, index, value", [([0.1, 0.5, 0.2, 0.9, 0.3], 3, 0.9), ([1.0, 1.0], 0, 1.0), ([float("nan"), 2.0], 1, 2.0), ([], 0, float("-inf")), ([float("nan")], 0, float("-inf"))])
 def test_argmax(spark, values, index, value):
     got = spark.createDataFrame([(values,)], "v array<double>").select(fx.argmax(F.col("v")).alias("x")).first()["x"]
