@@ -94,7 +94,35 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def shards_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shards of op1 must keep to, over all documents: slots without gaps, near equal bytes, light groups of texts together."""
+    docs = table(spark, sf_dir, "documents")
+    dealt = byte_shards(docs, 16).join(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "doc_id")
+    shards = dealt.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("longest"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high"))
+    total = shards.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("n_bytes"), F.max("longest").alias("longest"), F.bool_and((F.col("slots") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)).alias("gapless"), F.max("bytes").alias("most"), F.min("bytes").alias("least"))
+    groups = dealt.groupBy("h").agg(F.sum("size").alias("bytes"), F.count_distinct("shard").alias("n")).agg(F.min(F.when(F.col("n") > 1, F.col("bytes"))).alias("split"))
+    both = total.unionByName(groups, allowMissingColumns=True)
+    both = both.agg(*(F.max(c).alias(c) for c in both.columns))  # one row of each
+    near = F.col("longest") + F.col("n_bytes") / 1024
+    even = (F.col("most") - F.col("n_bytes") / 16 <= near) & (F.col("n_bytes") / 16 - F.col("least") <= near)
+    light = F.coalesce(F.col("split") * 1024 > F.col("n_bytes"), F.lit(True))  # the lightest group that is not in one shard
+    return both.select("n_rows", "n_bytes", "gapless", even.alias("even"), light.alias("together"))
+
+
+def mix_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of op9 must keep to, by source: its target, and words taken that are near it."""
+    by = op9_mixing(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("longest"), F.bool_and(F.col("taken") <= 3 * F.col("size")).alias("capped"))
+    near = F.abs(F.col("taken") - F.col("target")) <= F.col("longest") / 2 + 1
+    return by.select("source", "source_size", F.round("target", 3).alias("target"), near.alias("near"), "capped")
+
+
+def flac_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that do not depend on how FLAC is coded."""
+    return op8_flac(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 QUERIES = {"op10_hyperminhash": op10_hyperminhash, "op1_sharding": op1_sharding, "op2_quality": op2_quality, "op3_substrings": op3_substrings, "op4_embeddings": op4_embeddings, "op5_token_file": op5_token_file, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_flac": op8_flac, "op9_mixing": op9_mixing}
+QUERIES |= {"shards_law": shards_law, "mix_law": mix_law, "flac_payload": flac_payload}
 #: The cosine is taken from dot products over all pairs of a label: for the small tables of a comparison only.
 OP4_SQL = """
 WITH RECURSIVE v AS (
@@ -149,4 +177,25 @@ WITH w AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(g, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN cut USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_embeddings": OP4_SQL, "op10_hyperminhash": OP10_SQL}
+SHARDS_SQL = "SELECT count(*) AS n_rows, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes, true AS gapless, true AS even, true AS together FROM documents"
+
+MIX_SQL = r"""
+WITH s AS (
+  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s
+), w AS (
+  SELECT *, ([5, 2, 1][nth % 3 + 1])::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM r
+), o AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM w
+), level AS (SELECT arg_min(rest / open_weight, cap / weight) AS t FROM o WHERE cap * open_weight > rest * weight)
+SELECT source, source_size, round(CASE WHEN t IS NULL THEN cap ELSE least(cap, weight * t) END, 3) AS target, true AS near, true AS capped FROM o, level
+"""
+
+FLAC_SQL = """
+WITH p AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, strlen(coalesce(text, ''))::BIGINT AS n FROM documents), q AS (SELECT *, greatest(64, (n + 63) // 64 * 64) AS full_size FROM p)
+SELECT doc_id, n AS n_bytes, full_size AS payload_bytes, sha256(raw || unhex(repeat('00', (full_size - n)::BIGINT))) AS payload_sha256 FROM q
+"""
+
+ORACLES: dict[str, str] = {"shards_law": SHARDS_SQL, "mix_law": MIX_SQL, "flac_payload": FLAC_SQL, "op3_substrings": OP3_SQL, "op4_embeddings": OP4_SQL, "op10_hyperminhash": OP10_SQL}

@@ -224,3 +224,45 @@ def test_pipeline_takes_empty_and_odd_tables(spark, docs, nothing):
         for _, stage in cp.STAGES:
             out = cp.keep(stage(spark, out, DATA))
         assert out.count() <= 3 * table.count()
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    """Every stage on its own input: its decisions by brute force or by its law."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+    from reelspan.llm.queries import tokenizer_file
+
+    from .test_duplicates import brute_groups, brute_repeats
+    from .test_sharding_mixing import plain_targets
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows_of = lambda df: sorted(((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in df.collect()), key=str)
+    stages = dict(cp.STAGES)
+    accepted = {r["doc_id"] for r in quality.quality(docs, spark.read.parquet(f"{DATA}/labels.parquet")).where("accepted").collect()}
+    good = cp.keep(stages["quality"](spark, docs, DATA))
+    assert rows_of(good) == [r for r in rows_of(docs) if r[0] in accepted]
+    single = cp.keep(stages["near_duplicates"](spark, good, DATA))
+    groups = brute_groups(rows_of(good), 5, 80)
+    assert rows_of(single) == [r for r in rows_of(good) if groups[r[0]][2]]
+    cut = cp.keep(stages["substrings"](spark, single, DATA))
+    plain = brute_repeats(rows_of(single))
+    assert rows_of(cut) == sorted(((i, plain[i][2], lang, source, len(plain[i][2])) for i, _, lang, source, _ in rows_of(single)), key=str)
+    mixed = cp.keep(stages["mixing"](spark, cut, DATA))
+    size = {r[0]: len(brute_words(r[1])) for r in rows_of(cut)}
+    total, taken, longest, times = Counter(), Counter(), Counter(), Counter()
+    for i, _, _, source, _ in rows_of(cut):
+        total[source] += size[i]
+        longest[source] = max(longest[source], size[i])
+    for i, _, _, source, _ in rows_of(mixed):
+        taken[source] += size[i]
+        times[i] += 1
+    assert set(rows_of(mixed)) <= set(rows_of(cut)) and max(times.values()) <= 3
+    for source, target in plain_targets(dict(total)).items():
+        assert abs(taken[source] - target) <= longest[source] / 2 + 1
+    library, texts = Tokenizer.from_file(tokenizer_file()), {r[0]: r[1] for r in rows_of(cut)}
+    got = stages["tokens"](spark, mixed, DATA).collect()
+    assert len(got) == mixed.count()
+    for r in got:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["token_ids"], r["n_tokens"]) == (ids, len(ids))
