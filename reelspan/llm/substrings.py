@@ -100,47 +100,69 @@ def _packed(ids: np.ndarray, keys: np.ndarray, values: np.ndarray, buckets: int)
     return [(int(b[at[i]]), docs[:, i:j].tobytes(), v[at[i] : at[j]].tobytes()) for i, j in zip(cuts, cuts[1:])]
 
 
-def _unpacked(packed: DataFrame, kind: type) -> DataFrame:
-    """(id, key, found) of packed rows: one row a document, with all its values of that kind in order."""
-
-    def opened(data: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        ids, keys, n = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in data[0]], 1)
-        values = np.frombuffer(b"".join(data[1]), kind)
-        ids, keys = np.repeat(ids, n), np.repeat(keys, n)
-        order = np.lexsort((values, keys, ids))
-        d, k, v = ids[order], keys[order], values[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])).tolist() + [len(d)]
-        rows = [(int(d[a]), int(k[a]), v[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-        yield from _batches(rows, ["id", "key", "found"], [pa.int64(), pa.int64(), pa.binary()])
-
-    dealt = packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.transform(mapped, lambda batches: _by_key(batches, "bucket", ["docs", "found"], opened), "id long, key long, found binary")
-
-
-def _by_key(batches: Iterator[pa.RecordBatch], key: str, columns: list[str], work: Callable[[list[list[bytes]]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``key``, ``work`` gets the data of all rows of a key, column by column; packed rows with a null there go on as they are."""
+def _by_key(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[list[list[bytes]]]:
+    """Of rows sorted by ``key``, the data of all rows of a key, column by column."""
     last, held = None, []
     for whole in batches:
-        if key != "bucket":
-            plain = whole.filter(pc.is_valid(whole.column("bucket")))
-            if plain.num_rows:
-                yield plain.select(_PACKED_NAMES)
         for k, *row in zip(*(whole.column(c).to_pylist() for c in [key, *columns])):
             if row[0] is not None:
                 if k != last and held:
-                    yield from work(list(zip(*held)))
+                    yield list(zip(*held))
                     held = []
                 last = k
                 held.append(row)
     if held:
-        yield from work(list(zip(*held)))
+        yield list(zip(*held))
+
+
+def _answers(batches: Iterator[pa.RecordBatch], columns: list[str], work: Callable[[list[list[bytes]]], tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """What ``work`` finds in the data of each shard, as (ids, keys, values), packed for many shards together; packed rows go on as they are."""
+    ready: list[pa.RecordBatch] = []
+
+    def seen() -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            plain = whole.filter(pc.is_valid(whole.column("bucket")))
+            if plain.num_rows:
+                ready.append(plain.select(_PACKED_NAMES))
+            yield whole
+
+    held, size = [], 0
+    for data in _by_key(seen(), "shard", columns):
+        yield from ready
+        ready.clear()
+        held.append(work(data))
+        size += len(held[-1][0])
+        if size > FLUSH:
+            yield from _batches(_packed(*map(np.concatenate, zip(*held)), buckets), _PACKED_NAMES, _PACKED_KINDS)
+            held, size = [], 0
+    yield from ready
+    if held:
+        yield from _batches(_packed(*map(np.concatenate, zip(*held)), buckets), _PACKED_NAMES, _PACKED_KINDS)
+
+
+def _unpacked(packed: DataFrame, kind: type) -> DataFrame:
+    """(id, key, found) of packed rows: one row a document, with all its values of that kind in order."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in _by_key(batches, "bucket", ["docs", "found"]):
+            ids, keys, n = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in data[0]], 1)
+            values = np.frombuffer(b"".join(data[1]), kind)
+            ids, keys = np.repeat(ids, n), np.repeat(keys, n)
+            order = np.lexsort((values, keys, ids))
+            d, k, v = ids[order], keys[order], values[order]
+            cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])).tolist() + [len(d)]
+            rows = [(int(d[a]), int(k[a]), v[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+            yield from _batches(rows, ["id", "key", "found"], [pa.int64(), pa.int64(), pa.binary()])
+
+    dealt = packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.transform(mapped, opened, "id long, key long, found binary")
 
 
 _PACKED = "bucket int, docs binary, found binary"
 _PACKED_NAMES, _PACKED_KINDS = ["bucket", "docs", "found"], [pa.int32(), pa.binary(), pa.binary()]
 
 
-def repeated_signs(docs: DataFrame, shards: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_signs(docs: DataFrame, shards: int, buckets: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, key, found) of (id, key, text): signs, 64 bits each, of the text's windows that a count-min sketch has twice or more.
 
     A window's sign is the least hash of the ``gram``-word runs in it; it is counted once for each stretch of neighbouring windows
@@ -161,7 +183,7 @@ def repeated_signs(docs: DataFrame, shards: int, window: int = WINDOW, gram: int
             head = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]]))
             n = np.diff(np.append(head, len(signs)))
             twice = np.repeat(n > 1, n)
-            rows = [(row[0] % shards, *row, None, None, None) for row in _packed(ids[twice], keys[twice], signs[twice], shards)]
+            rows = [(row[0] % shards, *row, None, None, None) for row in _packed(ids[twice], keys[twice], signs[twice], buckets)]
             order, runs = _dealt(signs[head], shards)
             at, counts = head[order], np.minimum(n[order], 2).astype(np.uint8)
             for shard, a, b in runs:
@@ -182,15 +204,15 @@ def repeated_signs(docs: DataFrame, shards: int, window: int = WINDOW, gram: int
         if held:
             yield from flush()
 
-    def counted(data: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def counted(data: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         signs, counts = np.frombuffer(b"".join(data[0]), np.uint64), np.frombuffer(b"".join(data[1]), np.uint8)
         ids, keys = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in data[2]], 1)
         told = (counts == 1) & (estimates(signs, counts) > 1)
-        yield from _batches(_packed(ids[told], keys[told], signs[told], shards), _PACKED_NAMES, _PACKED_KINDS)
+        return ids[told], keys[told], signs[told]
 
     dealt = docs.select("id", "key", "text").transform(mapped, sent, f"shard int, {_PACKED}, signs binary, counts binary, of binary")
     n = partitions(docs.sparkSession)
-    answers = dealt.repartition(n, "shard").sortWithinPartitions("shard").transform(mapped, lambda batches: _by_key(batches, "shard", ["signs", "counts", "of"], counted), _PACKED)
+    answers = dealt.repartition(n, "shard").sortWithinPartitions("shard").transform(mapped, lambda batches: _answers(batches, ["signs", "counts", "of"], counted, buckets), _PACKED)
     return _unpacked(answers, np.uint64)
 
 
@@ -222,10 +244,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     base = docs.select(F.struct(*[F.col(c) for c in stay]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     n_parts = partitions(spark)
-    signs = keep(repeated_signs(narrow, 4 * n_parts, window))
+    signs = keep(repeated_signs(narrow, 4 * n_parts, n_parts, window))
     # a sign stands for some twenty windows
     n_signs = signs.agg(F.sum(F.octet_length("found"))).first()[0] or 0
     shards = max(4 * n_parts, n_signs // 8 * 20 // SHARD_WINDOWS)
+    buckets = max(n_parts, shards // 4)
     names, kinds = ["shard", *_PACKED_NAMES, "h1", "h2", "of", "places"], [pa.int32(), *_PACKED_KINDS] + 4 * [pa.binary()]
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +259,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             order, least = _first_of_each(h1, h2, ids)
             own = ids[order]
             known = order[own > least]
-            rows = [(row[0] % shards, *row, None, None, None, None) for row in _packed(ids[known], keys[known], places[known], shards)]
+            rows = [(row[0] % shards, *row, None, None, None, None) for row in _packed(ids[known], keys[known], places[known], buckets)]
             rest = np.sort(order[own == least])  # as they came, so that a document's ids and places stand together
             by, runs = _dealt(h1[rest], shards)
             rest = rest[by]
@@ -262,18 +285,18 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         if held:
             yield from flush()
 
-    def settled(data: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def settled(data: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         h1, h2 = (np.frombuffer(b"".join(x), np.uint64) for x in data[:2])
         ids, keys = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in data[2]], 1)
         places = np.frombuffer(b"".join(data[3]), np.uint32)
         order, least = _first_of_each(h1, h2, ids)
         late = order[ids[order] > least]
-        yield from _batches(_packed(ids[late], keys[late], places[late], shards), _PACKED_NAMES, _PACKED_KINDS)
+        return ids[late], keys[late], places[late]
 
     some = possibly_in(narrow, "id", signs.select("id")).where("_maybe").drop("_maybe")
     marked = some.join(signs, ["id", "key"]).select("id", "key", "text", "found")
     sent = marked.transform(mapped, picked, f"shard int, {_PACKED}, h1 binary, h2 binary, of binary, places binary").repartition(n_parts, "shard").sortWithinPartitions("shard")
-    late = sent.transform(mapped, lambda batches: _by_key(batches, "shard", ["h1", "h2", "of", "places"], settled), _PACKED)
+    late = sent.transform(mapped, lambda batches: _answers(batches, ["h1", "h2", "of", "places"], settled, buckets), _PACKED)
     places = keep(_unpacked(late, np.uint32))
     discard(signs)
     marks = places.select("id", "key", F.col("found").alias("places"))

@@ -188,7 +188,7 @@ def test_sketch_loses_no_repeat(spark):
     for parts in (1, 5):
         df = spark.createDataFrame([(i, 7, t) for i, t in enumerate(texts)], "id long, key long, text string").repartition(parts)
         got = {}
-        for r in repeated_signs(df, 9).collect():
+        for r in repeated_signs(df, 9, 4).collect():
             got.setdefault(r["id"], set()).update(np.frombuffer(r["found"], np.uint64).tolist())
         want = set(Windows(pa.array([passage]), 50, 8).sign.tolist())
         assert all(want <= got[i] for i in range(1, 40, 2))
