@@ -34,7 +34,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 #: Bytes that Spark puts into a batch at most (or one row); its own limit of 64 MB would be held several times over in a worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
